@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +48,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of one Arrow batch, so that long texts fit in a worker."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession, rows: int = 512) -> None:
+    """Send this package to the executors, and bound the rows of an Arrow batch.
+
+    Workers import the package from the archive; with few rows in a batch, long
+    texts fit in a worker's memory.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="hierql-package-"))) / "hierql.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -78,3 +97,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def annotate(docs: DataFrame, text_col: str, make, fields, keep: list[str]) -> DataFrame:
+    """``keep`` columns plus ``fields``, which ``make()(texts)`` computes for a batch.
+
+    ``make`` runs once per task; it gets lists of texts (None for null) and
+    returns one Arrow array per field.  Kept columns that a field's name clashes
+    with are replaced.
+    """
+    from pyspark.sql import types as T
+
+    keep = [c for c in keep if c not in fields.fieldNames()]
+    schema = T.StructType([docs.schema[c] for c in keep] + fields.fields)
+    names = schema.fieldNames()
+
+    def run(batches):
+        import pyarrow as pa
+
+        score = make()
+        for batch in batches:
+            columns = score(batch.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + columns, names=names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("hq_text")).mapInArrow(run, schema)
