@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, toxicity
+from . import chat_format, language_id, mixing, ngram_join, toxicity
 
 QUERIES = {
     "op1_prefix_target_chat": chat_format.op1_prefix_target_chat,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op6_weighted_fair_mix": mixing.op6_weighted_fair_mix,
