@@ -74,7 +74,7 @@ def gram_hashes(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]
     return grams, contexts
 
 
-def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 150_000) -> DataFrame:
+def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 30_000) -> DataFrame:
     """(grp, gram, n): counts of the longest n-grams by group, over every row.
 
     ``gram`` holds ORDER code points, the predicted one first.
@@ -85,7 +85,7 @@ def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words:
         tokens = list(words)
         symbols, token = predictions(tokens)
         weights = np.fromiter(words.values(), np.int64, len(tokens))[token]
-        _, first, inverse = np.unique(gram_hashes(symbols)[0][-1], return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(mix64((symbols.astype(np.uint64) * _FACTORS).sum(axis=1, dtype=np.uint64)), return_index=True, return_inverse=True)
         counts = np.bincount(inverse, weights=weights, minlength=len(first)).astype(np.int64)
         flat = np.ascontiguousarray(symbols[first]).tobytes().decode("utf-32-le", "surrogatepass")
         grams = [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
@@ -142,6 +142,9 @@ class CharModel:
 
     def score_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per token: (K) summed log probabilities, and the number of predictions."""
+        if len(tokens) > 10_000:
+            parts = [self.score_tokens(tokens[i : i + 10_000]) for i in range(0, len(tokens), 10_000)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         symbols, token = predictions(tokens)
         logs = self.score(symbols)
         total = np.stack([np.bincount(token, weights=logs[:, k], minlength=len(tokens)) for k in range(logs.shape[1])], 1)
@@ -222,7 +225,7 @@ class Vocabulary:
     dropped again after their batch.
     """
 
-    def __init__(self, rows, limit: int = 250_000):
+    def __init__(self, rows, limit: int = 120_000):
         self.rows, self.limit, self.ids, self.new = rows, limit, {}, []
         self.values: list[np.ndarray] | None = None
 

@@ -51,7 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
-def prepare(spark: SparkSession, rows: int = 512) -> None:
+def prepare(spark: SparkSession, rows: int = 256) -> None:
     """Send this package to the executors, and bound the rows of an Arrow batch.
 
     Workers import the package from the archive; with few rows in a batch, long
