@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, ngram_join, toxicity
+from . import chat_format, decontaminate, language_id, mixing, multiset_hash, ngram_join, toxicity
 
 QUERIES = {
     "op1_prefix_target_chat": chat_format.op1_prefix_target_chat,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_multiset_fingerprint": multiset_hash.op3_multiset_fingerprint,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op6_weighted_fair_mix": mixing.op6_weighted_fair_mix,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
 SQL = {
