@@ -182,7 +182,7 @@ class Reader:
         return [flags]
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", labelled_rows: int = 16_000, kept_features: int = 4_000, hash_bits: int = 24, threshold: float = 0.7) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", labelled_rows: int = 8_000, kept_features: int = 4_000, hash_bits: int = 24, threshold: float = 0.7) -> ToxicityModel:
     """Character model over every text; classifier on labelled rows outside fold 1.
 
     The classifier sees at most ``labelled_rows`` of them, the first by md5 of
@@ -196,9 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     chars = charlm.fit(base.withColumn("grp", F.lit("all")), "text", "grp", hash_bits)
     model = ToxicityModel(chars, uuid.uuid4().hex, threshold=threshold)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(fold("id") != 1)
-    marks = marks.groupBy("id").agg(F.max("label").cast("int").alias("label"))
-    order = F.md5(F.col("id").cast("string").cast("binary"))
-    chosen = base.join(marks, "id").orderBy(order, "text").limit(labelled_rows)
+    marks = marks.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(labelled_rows)
+    chosen = base.join(F.broadcast(marks), "id")  # at most labelled_rows rows
     shared = spark.sparkContext.broadcast(chars)
     schema = T.StructType([T.StructField("features", T.ArrayType(T.IntegerType()))])
 
@@ -234,9 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 def regress(values: np.ndarray, lengths: np.ndarray, y: np.ndarray, kept: int) -> tuple[dict[int, float], float]:
     """Logistic regression on the features with the highest likelihood ratio; classes weigh by the root of their share."""
-    row = np.repeat(np.arange(len(y)), lengths)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
     n, p, total = len(y), y.sum(), np.bincount(values, minlength=1 << FEATURE_BITS).astype(float)
-    toxic = np.bincount(values, weights=y[row], minlength=1 << FEATURE_BITS)
+    toxic = np.bincount(values[y[row] > 0], minlength=1 << FEATURE_BITS).astype(float)
     at = np.flatnonzero(total >= 3)
     a, b = toxic[at], total[at] - toxic[at]
 
@@ -248,10 +247,10 @@ def regress(values: np.ndarray, lengths: np.ndarray, y: np.ndarray, kept: int) -
     best = np.sort(at[np.argsort(-gain, kind="stable")[:kept]][np.sort(-gain, kind="stable")[:kept] < -5])
     if not len(best):
         return {}, float(np.log(p / (n - p)))
-    place = np.full(1 << FEATURE_BITS, -1)
+    place = np.full(1 << FEATURE_BITS, -1, np.int32)
     place[best] = np.arange(len(best))
-    column = place[values]
-    row, column = row[column >= 0], column[column >= 0]
+    used = np.flatnonzero(place[values] >= 0)
+    row, column = row[used], place[values[used]]
     weight = np.where(y == 1, np.sqrt((n - p) / p), 1.0)
     weight /= weight.mean()
     w, m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1), np.zeros(len(best) + 1)
