@@ -56,19 +56,23 @@ class PqlResult:
             out = out.join(above, IDS[scope])
         return out
 
+    def trace_rows(self, events: bool = True) -> DataFrame:
+        """Traces, each with its ``events`` in order."""
+        below = self.traces
+        if not events:
+            return below
+        own = self.events
+        item = F.struct("_pos", *[c for c in own.columns if c not in ("_pos", "log_id", "trace_id")])
+        lists = self._sorted(own, IDS[Scope.TRACE], item, "events")
+        return below.join(lists, IDS[Scope.TRACE], "left").withColumn("events", F.coalesce("events", F.array()))
+
     def nested(self, traces: bool = True, events: bool = True) -> DataFrame:
         """One row per log: its columns and ``traces``, each with ``events``, in order."""
-        out = self.logs
         if not (traces or events):
-            return out
-        below = self.traces
-        if events:
-            own = self.events
-            item = F.struct("_pos", *[c for c in own.columns if c not in ("_pos", "log_id", "trace_id")])
-            lists = own.groupBy(*IDS[Scope.TRACE]).agg(F.array_sort(F.collect_list(item)).alias("events")) if "e_attrs" not in own.columns else self._sorted(own, IDS[Scope.TRACE], item, "events")
-            below = below.join(lists, IDS[Scope.TRACE], "left").withColumn("events", F.coalesce("events", F.array()))
+            return self.logs
+        below = self.trace_rows(events)
         item = F.struct("_pos", *[c for c in below.columns if c not in ("_pos", "log_id")])
-        return out.join(self._sorted(below, ["log_id"], item, "traces"), "log_id", "left").withColumn("traces", F.coalesce("traces", F.array()))
+        return self.logs.join(self._sorted(below, ["log_id"], item, "traces"), "log_id", "left").withColumn("traces", F.coalesce("traces", F.array()))
 
     @staticmethod
     def _sorted(rows: DataFrame, by: list[str], item, name: str) -> DataFrame:
