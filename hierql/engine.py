@@ -25,6 +25,7 @@ class PqlResult:
     levels: dict[Scope, LevelResult]
     plan: Plan
     store: EventStore
+    lowering: Lowering
 
     @property
     def logs(self) -> DataFrame:
@@ -38,6 +39,10 @@ class PqlResult:
     def events(self) -> DataFrame:
         return self.levels[Scope.EVENT].frame
 
+    def placeholders(self) -> DataFrame:
+        """Traces with ``_null_event_count``: how many empty events stand for those that the query does not show."""
+        return self.traces.join(self.lowering.null_events(), IDS[Scope.TRACE])
+
     def names(self, scope: Scope) -> dict[str, str]:
         """Output column -> canonical text of its expression."""
         return self.levels[scope].names
@@ -52,13 +57,13 @@ class PqlResult:
         for s in range(deepest - 1, -1, -1):
             scope = Scope(s)
             above = self.levels[scope].frame
-            above = above.drop(*[c for c in ("_trace_count", "_null_event_count") if c in above.columns]).withColumnRenamed("_pos", f"_{scope.letter}_pos")
+            above = above.drop("_trace_count").withColumnRenamed("_pos", f"_{scope.letter}_pos")
             out = out.join(above, IDS[scope])
         return out
 
     def trace_rows(self, events: bool = True) -> DataFrame:
         """Traces, each with its ``events`` in order."""
-        below = self.traces
+        below = self.placeholders() if events and not self.shown(Scope.EVENT) else self.traces
         if not events:
             return below
         own = self.events
@@ -90,7 +95,8 @@ def execute(store: EventStore, query: str, log_id: str | None = None, limits: di
         raise ValueError("a delete query cannot be executed as a read; use delete()")
     for scope, n in (limits or {}).items():
         plan.limits[scope] = min(n, plan.limits.get(scope, n))
-    return PqlResult(Lowering(store, plan, now).results(), plan, store)
+    lowering = Lowering(store, plan, now)
+    return PqlResult(lowering.results(), plan, store, lowering)
 
 
 def validate(query: str, store: EventStore | None = None) -> list[PqlError]:

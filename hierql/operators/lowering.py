@@ -189,8 +189,7 @@ class Lowering:
             else:
                 rows = self.with_parents(rows, scope, parts[0])
                 values.append(F.col(parts[0].column))
-        named = F.struct(*[v.alias(f"k{n}") for n, v in enumerate(values)])
-        return rows.withColumn(own, F.md5(F.to_json(named).cast("binary")))
+        return rows.withColumn(own, F.md5(F.concat(*[measured(v) for v in values]).cast("binary")))
 
     def with_sequence(self, rows: DataFrame, scope: Scope, key: Attribute, parts: list[Bound], name: str) -> tuple[DataFrame, Column]:
         """Rows with the sequence of a descendant attribute's values over their members.
@@ -212,8 +211,7 @@ class Lowering:
         sequences = members.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
         shown = any(c.scope == key.base for c, _ in self.columns)
         rows = rows.join(sequences, ids, "inner" if shown else "left")
-        text = F.coalesce(F.to_json(F.struct(F.transform(name, lambda x: F.struct(x.alias("v"))))), F.lit(""))
-        return rows, text
+        return rows, F.coalesce(spelled(name), F.lit(""))
 
     # -- aggregates --
 
@@ -329,21 +327,34 @@ class Lowering:
                 columns.append(self.render(e, lambda a: F.col(names[a, False])).alias(c.alias))
                 texts[c.alias] = c.text
         extra = [F.col("_count").alias("_trace_count")] if scope == TRACE else []
-        if scope == TRACE and not self.shows(EVENT):
-            frame = self.with_null_events(frame)
-            extra.append(F.col("_null_event_count"))
         return LevelResult(frame.select(*ids, "_pos", *columns, *extra), texts)
 
     def shows(self, scope: Scope) -> bool:
         return scope in self.plan.stars or any(c.scope == scope for c, _ in self.columns)
 
-    def with_null_events(self, frame: DataFrame) -> DataFrame:
-        """The number of events to show as empty ones: the most in a trace of the group, windowed."""
+    def null_events(self) -> DataFrame:
+        """(log_id, trace_id, _null_event_count) of the trace groups.
+
+        That is the number of events to show as empty ones where the query
+        shows none: the most that a trace of the group has, windowed.
+        """
         counts = self.members[EVENT].groupBy(*IDS[TRACE]).agg(F.count(F.lit(1)).alias("n"))
-        most = self.map(TRACE).select(*IDS[TRACE], "lg", "tg").join(counts, IDS[TRACE]).groupBy("lg", "tg").agg(F.max("n").alias("n"))
+        groups = self.map(TRACE).select(*IDS[TRACE], "lg", "tg").join(counts, IDS[TRACE], "left")
         offset, limit = self.plan.offsets.get(EVENT, 0), self.plan.limits.get(EVENT)
-        left = F.greatest(F.coalesce("n", F.lit(0)) - offset, F.lit(0))
-        return frame.join(most, ["lg", "tg"], "left").withColumn("_null_event_count", F.least(left, F.lit(limit)) if limit is not None else left).drop("n")
+        left = F.greatest(F.coalesce(F.max("n"), F.lit(0)) - offset, F.lit(0))
+        shown = F.lit(0).cast("long") if self.shows(EVENT) else F.least(left, F.lit(limit)) if limit is not None else left
+        return groups.groupBy("lg", "tg").agg(shown.alias("_null_event_count")).select(F.col("lg").alias("log_id"), F.col("tg").alias("trace_id"), "_null_event_count")
+
+
+def measured(value: Column) -> Column:
+    """A value's text with its length before it, so that texts of several values in a row are unambiguous."""
+    text = value.cast("string")
+    return F.when(value.isNull(), "n").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
+def spelled(sequence: str) -> Column:
+    """The text of a sequence, nulls and all."""
+    return F.array_join(F.transform(sequence, measured), ",")
 
 
 def a_scope(a: Aggregate) -> Scope:

@@ -23,14 +23,14 @@ STORES = {"clicks": adapters.clickstream, "orders": adapters.orders, "talks": ad
 class Registered:
     store: str
     text: str
-    level: str  # logs, traces, events or flat
+    level: str  # logs, traces, placeholders, events or flat
     columns: dict[str, str]  # output name -> expression over the level
     sql: str | None = None
     log_id: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         result = execute(STORES[self.store](spark, sf_dir), self.text, log_id=self.log_id)
-        frame = result.flat() if self.level == "flat" else getattr(result, self.level)
+        frame = result.flat() if self.level == "flat" else result.placeholders() if self.level == "placeholders" else getattr(result, self.level)
         return frame.select(*[F.expr(e).alias(n) for n, e in self.columns.items()])
 
 
@@ -77,7 +77,7 @@ add("p5_cross_scope_expression", "orders", "select e:total / t:total, [e:l_quant
 add("p6_scoped_literals", "orders", "select l:1, l:2 + t:3, l:4 * t:5 + e:6, 7 / 8 - 9, 10 * null, t:null/11, l:D2020-03-12 limit l:1, t:1, e:1", "flat", "a=col_0;b=col_1;c=col_2;d=col_3;e=col_4;f=col_5;g=col_6", "SELECT 1.0::DOUBLE AS a, 5.0::DOUBLE AS b, 26.0::DOUBLE AS c, -8.125::DOUBLE AS d, NULL::DOUBLE AS e, NULL::DOUBLE AS f, TIMESTAMP '2020-03-12 00:00:00' AS g")
 add("p7_classifier_columns", "orders", "select c:Status, c:Flag", "events", "event_id;flag=e_l_returnflag;status=e_l_linestatus", "SELECT event_id, l_returnflag AS flag, l_linestatus AS status FROM e")
 add("p8_group_projection", "orders", "group by e:name", "events", "log_id;trace_id;name=e_concept_name", "SELECT DISTINCT log_id, trace_id, name FROM e")
-add("p9_null_events", "orders", "select l:name limit t:4, e:3 offset e:1", "traces", "log_id;trace_id;empty=_null_event_count", "SELECT log_id, trace_id, least(3, greatest(0, c - 1)) AS empty FROM (SELECT t.log_id, t.tid, t.trace_id, count(e.n) AS c, row_number() OVER (PARTITION BY t.log_id ORDER BY t.tid) AS tn FROM t LEFT JOIN e USING (log_id, tid) GROUP BY t.log_id, t.tid, t.trace_id) WHERE tn <= 4")
+add("p9_null_events", "orders", "select l:name limit t:4, e:3 offset e:1", "placeholders", "log_id;trace_id;empty=_null_event_count", "SELECT log_id, trace_id, least(3, greatest(0, c - 1)) AS empty FROM (SELECT t.log_id, t.tid, t.trace_id, count(e.n) AS c, row_number() OVER (PARTITION BY t.log_id ORDER BY t.tid) AS tn FROM t LEFT JOIN e USING (log_id, tid) GROUP BY t.log_id, t.tid, t.trace_id) WHERE tn <= 4")
 add("s1_log_by_id", "orders", "select count(^t:name)", "logs", "n=fn_0", "SELECT count(*) AS n FROM t WHERE log_id = 'BUILDING'", "BUILDING")
 add("s3_all_logs", "orders", "select l:name", "logs", "name=l_concept_name", "SELECT log_id AS name FROM l")
 add("s5_traces_with_events", "orders", "select t:name where e:total > 90000", "traces", "log_id;trace_id", "SELECT DISTINCT log_id, trace_id FROM e WHERE total > 90000")
@@ -156,7 +156,7 @@ add("a26_duration", "clicks", "select max(e:timestamp) - min(e:timestamp)", "eve
 add("a27_aggregate_arithmetic", "orders", "select (sum(e:total) - min(e:total)) / count(e:name) * 2", "events", "log_id;trace_id;v=round(col_0, 6)", "SELECT log_id, trace_id, round((sum(total) - min(total)) / count(name) * 2, 6) AS v FROM e GROUP BY log_id, trace_id")
 add("a29_order_only_aggregate", "orders", "order by avg(e:total) limit l:2", "logs", "log_id;pos=_pos", "SELECT log_id, row_number() OVER (ORDER BY a) AS pos FROM (SELECT log_id, min(a) AS a FROM (SELECT log_id, tid, avg(total) AS a FROM e GROUP BY ALL) GROUP BY log_id) ORDER BY a LIMIT 2")
 add("a31_traces_without_events", "clicks", "select count(t:name) where t:name like '1%'", "traces", "n=fn_0", "SELECT count(*) AS n FROM t WHERE trace_id LIKE '1%'")
-add("a32_null_events_of_groups", "orders", "select count(t:name) where e:total > 30000 group by ^e:name", "traces", "log_id;n=fn_0;empty=_null_event_count", ", m AS (SELECT log_id, tid, string_agg(name, '>' ORDER BY n) AS seq, count(*) AS c FROM e WHERE total > 30000 GROUP BY log_id, tid) SELECT log_id, count(*) AS n, max(c) AS empty FROM m GROUP BY log_id, seq")
+add("a32_null_events_of_groups", "orders", "select count(t:name) where e:total > 30000 group by ^e:name", "placeholders", "log_id;n=fn_0;empty=_null_event_count", ", m AS (SELECT log_id, tid, string_agg(name, '>' ORDER BY n) AS seq, count(*) AS c FROM e WHERE total > 30000 GROUP BY log_id, tid) SELECT log_id, count(*) AS n, max(c) AS empty FROM m GROUP BY log_id, seq")
 
 # -- order, limit, offset -------------------------------------------------------------------
 
@@ -172,7 +172,7 @@ add("o9_hierarchical_offset", "orders", "select t:name, e:name limit l:3, t:10,
 add("o9_offset_keeps_parents", "talks", "select t:name offset e:1000", "traces", "trace_id", "SELECT trace_id FROM t")
 add("o12_log_ranking", "orders", "select e:name order by e:timestamp, e:name limit l:1, t:2, e:2", "logs", "log_id", "SELECT log_id FROM e GROUP BY log_id ORDER BY min((ts, name)), log_id LIMIT 1")
 add("o13_filter_before_limit", "clicks", "select e:name where e:name = 'purchase' limit l:1, t:10, e:5", "events", "trace_id;event_id", "SELECT trace_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY ts, n) AS rn, dense_rank() OVER (ORDER BY tid) AS tn FROM e WHERE name = 'purchase') WHERE rn <= 5 AND tn <= 10")
-add("o14_aggregate_before_limit", "orders", "select count(t:name) limit t:1, e:1", "traces", "log_id;n=fn_0;empty=_null_event_count", "SELECT log_id, count(*) AS n, 1::BIGINT AS empty FROM t GROUP BY log_id".replace("1::BIGINT", "least(1, max(c))").replace("FROM t", "FROM (SELECT t.log_id, t.tid, count(e.n) AS c FROM t LEFT JOIN e USING (log_id, tid) GROUP BY t.log_id, t.tid)"))
+add("o14_aggregate_before_limit", "orders", "select count(t:name) limit t:1, e:1", "placeholders", "log_id;n=fn_0;empty=_null_event_count", "SELECT log_id, count(*) AS n, 1::BIGINT AS empty FROM t GROUP BY log_id".replace("1::BIGINT", "least(1, max(c))").replace("FROM t", "FROM (SELECT t.log_id, t.tid, count(e.n) AS c FROM t LEFT JOIN e USING (log_id, tid) GROUP BY t.log_id, t.tid)"))
 add("o15_window_then_aggregate", "orders", "select min(e:timestamp), max(e:timestamp) limit l:2, t:10", "events", "log_id;trace_id;a=fn_0;b=fn_1", "SELECT log_id, trace_id, min(ts) AS a, max(ts) AS b FROM e WHERE (log_id, tid) IN (SELECT (log_id, tid) FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY tid) AS tn, dense_rank() OVER (ORDER BY log_id) AS ln FROM t) WHERE tn <= 10 AND ln <= 2) GROUP BY log_id, tid, trace_id")
 
 

@@ -21,7 +21,7 @@ def rows(frame, *columns):
 def test_log_counts_read_whole_log(store, where, empty):
     r = execute(store, f"select count(^t:name), count(^^e:name) where {where} limit l:1, t:1", log_id="A")
     assert rows(r.logs, "fn_0", "fn_1") == [(3, 6)]
-    assert rows(r.traces, "_null_event_count") == [(empty,)]
+    assert rows(r.placeholders(), "_null_event_count") == [(empty,)]
 
 
 def test_one_log_across_sources(store):
@@ -81,13 +81,13 @@ def test_every_scope_at_once(store):
 
 def test_variants_of_filtered_events(store):
     r = execute(store, f"select count(^e:name) where {HIT} group by ^e:name", log_id="A")
-    assert rows(r.traces, "fn_0", "_null_event_count") == [(2, 1), (2, 2)]
+    assert rows(r.placeholders(), "fn_0", "_null_event_count") == [(2, 1), (2, 2)]
 
 
 def test_trace_without_events_counts(spark):
     store = make_store(spark, [("A", [("T0", [{"name": "E0"}]), ("EmptyTrace", [])])])
     r = execute(store, "select count(t:name) where t:name='EmptyTrace'")
-    assert rows(r.traces, "fn_0", "_null_event_count") == [(1, 0)]
+    assert rows(r.placeholders(), "fn_0", "_null_event_count") == [(1, 0)]
     assert r.events.count() == 0
 
 
