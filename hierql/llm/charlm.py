@@ -218,6 +218,18 @@ def fit(docs: DataFrame, text_col: str, group_col: str, hash_bits: int = 24) ->
     return build(owner[order], symbols[order], table.column("n").to_numpy()[order], groups, hash_bits)
 
 
+class _Ids(dict):
+    """Numbers of words; an unknown word gets the next one."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Vocabulary:
     """Values of words, computed once per distinct word and bounded in number.
 
@@ -226,29 +238,19 @@ class Vocabulary:
     """
 
     def __init__(self, rows, limit: int = 120_000):
-        self.rows, self.limit, self.ids, self.new = rows, limit, {}, []
+        self.rows, self.limit, self.ids = rows, limit, _Ids()
         self.values: list[np.ndarray] | None = None
+        self.fresh: list[str] = []
 
     def encode(self, tokens: list[str]) -> np.ndarray:
-        ids, new = self.ids, self.new
-        out = np.empty(len(tokens), np.int64)
-        for i, t in enumerate(map(ids.get, tokens)):
-            if t is None:
-                t = ids.get(tokens[i])
-                if t is None:
-                    t = ids[tokens[i]] = len(ids)
-                    new.append(tokens[i])
-            out[i] = t
-        return out
+        return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
 
     def fill(self) -> None:
         """Values of all words seen so far."""
-        if self.new:
-            fresh = self.rows(self.new)
-            self.values = fresh if self.values is None else [np.concatenate([a, b]) for a, b in zip(self.values, fresh, strict=True)]
-            self.fresh, self.new = self.new, []
-        else:
-            self.fresh = []
+        self.fresh, self.ids.new = self.ids.new, []
+        if self.fresh:
+            values = self.rows(self.fresh)
+            self.values = values if self.values is None else [np.concatenate([a, b]) for a, b in zip(self.values, values, strict=True)]
 
     def trim(self) -> None:
         if len(self.ids) > self.limit:

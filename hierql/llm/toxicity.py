@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charlm
-from .common import annotate, fold, prepare
+from .common import annotate, fold, mix64, prepare
 
 #: Letters that a symbol may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "#": "h"}
@@ -40,7 +39,8 @@ _STRETCH = re.compile(r"(.)\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
 FEATURE_BITS = 22
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-_VOCABULARIES: dict[str, charlm.Vocabulary] = {}
+_PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_SCORERS: dict[str, Scorer] = {}
 
 
 class Decoder:
@@ -143,10 +143,20 @@ def spelled_out(tokens: list[str]) -> list[str]:
     return found
 
 
-def features(word: str) -> list[int]:
-    """Hashed word and word beginnings of 3 to 8 letters."""
-    parts = [word + "$"] + [word[:n] for n in range(3, min(8, len(word)) + 1)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) >> (32 - FEATURE_BITS) for p in parts]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features (n, 7) of words and which of them there are: the word, its beginnings of 3 to 8 letters."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    points = charlm.code_points("".join(words)).astype(np.uint64)
+    at = np.arange(len(points)) - np.repeat(starts, sizes)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(points * _PLACES[at % len(_PLACES)] + np.repeat(np.uint64(1), len(points)), out=sums[1:])
+    out, there = np.zeros((len(words), 7), np.int64), np.ones((len(words), 7), bool)
+    for k, n in enumerate((0, 3, 4, 5, 6, 7, 8)):
+        ends = starts + (np.minimum(n, sizes) if n else sizes)
+        out[:, k] = mix64(sums[ends] - sums[starts] + np.uint64(n << 56)) >> np.uint64(64 - FEATURE_BITS)
+        there[:, k] = sizes >= n
+    return out, there
 
 
 @dataclass
@@ -159,28 +169,83 @@ class ToxicityModel:
 
 
 class Reader:
-    """Distinct features of texts, by way of their restored words."""
+    """Features of tokens, by way of their restored words."""
 
     def __init__(self, chars: charlm.CharModel | None, wanted=None):
         self.decoder = Decoder(chars) if chars is not None else None
-        self.wanted = wanted
-        self.found: dict[str, tuple[int, ...]] = {}
+        self.wanted = None
+        if wanted is not None:
+            self.wanted = np.zeros(1 << FEATURE_BITS, bool)
+            self.wanted[list(wanted)] = True
 
-    def of_token(self, token: str) -> tuple[int, ...]:
-        out = {f for w in (self.decoder.words(token) if self.decoder else _WORD.findall(token)) for f in features(w)}
-        return tuple(sorted(out if self.wanted is None else out & self.wanted))
+    def words(self, token: str) -> list[str]:
+        return self.decoder.words(token) if self.decoder else _WORD.findall(token)
 
-    def rows(self, tokens: list[str]) -> list[np.ndarray]:
-        flags = np.zeros(len(tokens), np.int8)
+    def of_tokens(self, tokens: list[str]) -> dict[int, set[int]]:
+        """Features by position of the token; only tokens with wanted features appear."""
+        words, owners = [], []
         for i, t in enumerate(tokens):
-            found = self.of_token(t)
-            if found:
-                self.found[t] = found
-                flags[i] = 1
-            if len(t) == 1:
-                flags[i] += 2
+            for w in [t] if t.isalpha() and not _STRETCH.search(t) else self.words(t):
+                words.append(w)
+                owners.append(i)
+        if not words:
+            return {}
+        found, there = features(words)
+        if self.wanted is not None:
+            there &= self.wanted[found]
+        out: dict[int, set[int]] = {}
+        for row, column in np.argwhere(there).tolist() if self.wanted is not None else ():
+            out.setdefault(owners[row], set()).add(int(found[row, column]))
+        if self.wanted is None:
+            for i, own, mask in zip(owners, found, there, strict=True):
+                out.setdefault(i, set()).update(own[mask].tolist())
+        return out
+
+
+class Scorer:
+    """Logits of texts; remembers the tokens with features."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model, self.reader, self.found = model, Reader(model.chars, model.weights), {}
+        self.words = charlm.Vocabulary(self.rows, limit=300_000)
+
+    def rows(self, tokens: list[str]) -> list[np.ndarray]:
+        """One number per token: 1 if it has features, and 2 more if it is one character."""
+        flags = np.fromiter((2 if len(t) == 1 else 0 for t in tokens), np.int8, len(tokens))
+        for at in range(0, len(tokens), 20_000):
+            for i, features_of in self.reader.of_tokens(tokens[at : at + 20_000]).items():
+                self.found[tokens[at + i]] = features_of
+                flags[at + i] += 1
         return [flags]
 
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        coded = [self.words.encode(t.lower().split()) if t else None for t in texts]
+        self.words.fill()
+        out = np.full(len(texts), self.model.bias)
+        if self.words.values is None:
+            return out
+        flags = self.words.values[0]
+        for i, ids in enumerate(coded):
+            if ids is None:
+                continue
+            marks = flags[ids]
+            hits, single = np.flatnonzero(marks & 1), marks >= 2
+            spelled = len(single) >= 3 and (single[2:] & single[1:-1] & single[:-2]).any()
+            if len(hits) or spelled:
+                tokens = texts[i].lower().split()
+                found: set[int] = set()
+                for t in {tokens[h] for h in hits}:
+                    found |= self.found[t]
+                if spelled:
+                    for own in self.reader.of_tokens(spelled_out(tokens)).values():
+                        found |= own
+                out[i] += sum(self.model.weights[f] for f in sorted(found))
+        if len(self.words.ids) > self.words.limit:
+            for t in self.words.fresh:
+                self.found.pop(t, None)
+        self.words.trim()
+        return out
+
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", labelled_rows: int = 8_000, kept_features: int = 4_000, hash_bits: int = 24, threshold: float = 0.7) -> ToxicityModel:
     """Character model over every text; classifier on labelled rows outside fold 1.
@@ -203,20 +268,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     def make():
         reader = Reader(shared.value)
-        known: dict[str, tuple[int, ...]] = {}
 
         def collect(texts):
             out = []
             for text in texts:
                 tokens = text.lower().split()
-                own: set[int] = set()
-                for t in dict.fromkeys([*tokens, *spelled_out(tokens)]):
-                    if t not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[t] = reader.of_token(t)
-                    own.update(known[t])
-                out.append(sorted(own))
+                kinds = list(dict.fromkeys([*tokens, *spelled_out(tokens)]))
+                out.append(sorted(set().union(*reader.of_tokens(kinds).values())))
             return [pa.array(out, pa.list_(pa.int32()))]
 
         return collect
@@ -275,38 +333,12 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: l
 
     def make():
         own = shared.value
-        if own.name not in _VOCABULARIES:
-            _VOCABULARIES.clear()
-            reader = Reader(own.chars, set(own.weights))
-            _VOCABULARIES[own.name] = charlm.Vocabulary(reader.rows)
-            _VOCABULARIES[own.name].reader = reader
-        words = _VOCABULARIES[own.name]
-        reader = words.reader
+        if own.name not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[own.name] = Scorer(own)
 
         def measure(texts):
-            coded = [words.encode(t.lower().split()) if t else None for t in texts]
-            words.fill()
-            out = np.full(len(texts), own.bias)
-            if words.values is not None:
-                flags = words.values[0]
-                for i, ids in enumerate(coded):
-                    if ids is None:
-                        continue
-                    marks = flags[ids]
-                    found: set[int] = set()
-                    hits = np.flatnonzero(marks & 1)
-                    tokens = texts[i].lower().split() if len(hits) or np.count_nonzero(marks & 2) >= 3 else ()
-                    for t in {tokens[h] for h in hits}:
-                        found.update(reader.found[t])
-                    single = marks >= 2
-                    if len(single) >= 3 and (single[2:] & single[1:-1] & single[:-2]).any():
-                        for run in spelled_out(tokens):
-                            found.update(reader.of_token(run))
-                    out[i] += sum(own.weights[f] for f in sorted(found))
-                for t in words.fresh if len(words.ids) > words.limit else ():
-                    reader.found.pop(t, None)
-                words.trim()
-            p = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+            p = 1 / (1 + np.exp(-np.clip(_SCORERS[own.name].logits(texts), -40, 40)))
             return [pa.array(p), pa.array((p >= own.threshold).astype(np.int32))]
 
         return measure
