@@ -92,7 +92,7 @@ def fair_queue(
     def served(epoch):
         begin = epoch * F.col("mix_source_size") + start
         words = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.floor("mix_target") - begin)).cast("long")
-        return F.struct(epoch.alias("epoch"), words.alias("words"), ((begin + words) / F.col("mix_target")).alias("finish"))
+        return F.struct(epoch.alias("epoch"), words.alias("words"), F.try_divide(begin + words, F.col("mix_target")).alias("finish"))
 
     items = F.filter(F.transform(F.array(*[F.lit(e) for e in range(max_repeats)]), served), lambda x: x["words"] > 0)
     return joined.select(*[F.col(f"`{c}`") for c in keep], "mix_size", "mix_source_size", "mix_target", items.alias("mix_items"))
