@@ -1,7 +1,7 @@
 """WARC archives as a Python data source.
 
 Reading plans partitions over whole files, parses a record's header first and
-applies pushed-down predicates to it; the rest of an unwanted record is passed
+applies the predicates pushed down to it; the rest of an unwanted record is passed
 over without decoding it.  In compressed files every record is a gzip member of its own with a
 ``sl`` extra field (compressed and plain length), which tells where the next
 one starts; members of other writers, without it, are inflated and dropped.
@@ -232,6 +232,30 @@ def column(head: dict[str, str], name: str):
 # -- predicates -----------------------------------------------------------------------------
 
 
+TESTS = {
+    "=": ds.EqualTo,
+    "in": ds.In,
+    ">": ds.GreaterThan,
+    ">=": ds.GreaterThanOrEqual,
+    "<": ds.LessThan,
+    "<=": ds.LessThanOrEqual,
+    "starts with": ds.StringStartsWith,
+    "ends with": ds.StringEndsWith,
+    "contains": ds.StringContains,
+    "is null": lambda column, _: ds.IsNull(column),
+    "is not null": lambda column, _: ds.IsNotNull(column),
+}
+
+
+def predicate(name: str, test: str, value=None):
+    """A filter on a header's column; a test may begin with ``not``."""
+    if name not in HEADERS:
+        raise ValueError(f"{name} is no column of headers")
+    if test.startswith("not "):
+        return ds.Not(predicate(name, test[4:], value))
+    return TESTS[test]((name,), value)
+
+
 def supported(f) -> bool:
     if isinstance(f, ds.Not):
         return supported(f.child)
@@ -276,14 +300,8 @@ class Files(ds.InputPartition):
 class WarcReader(ds.DataSourceReader):
     def __init__(self, schema, options):
         self.names, self.path = schema.fieldNames(), options["path"]
-        self.schema, self.pack, self.filters = schema, int(options.get("partition_bytes", 16 << 20)), []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if supported(f):
-                self.filters.append(f)
-            else:
-                yield f
+        self.schema, self.pack = schema, int(options.get("partition_bytes", 16 << 20))
+        self.filters = [predicate(*one) for one in json.loads(options.get("where", "[]"))]
 
     def partitions(self):
         out, now, size = [], [], 0
@@ -317,6 +335,22 @@ class WarcReader(ds.DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, schema.types, strict=True)], schema=schema)
 
 
+class PushingReader(WarcReader):
+    """A reader that also takes the filters of Spark's own optimiser, for sessions that turn that on.
+
+    Spark 4.1 keeps a relation's pushed filters for later scans of the same
+    DataFrame, so every query needs a DataFrame of its own; the option
+    ``where`` has no such trap.
+    """
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if supported(f):
+                self.filters.append(f)
+            else:
+                yield f
+
+
 def payload_of(head: dict[str, str], block: bytes | None) -> bytes | None:
     """The HTTP body of a response; the block of other kinds; None for a revisit."""
     if block is None or head.get("warc-type") == "revisit":
@@ -396,7 +430,8 @@ class WarcDataSource(ds.DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(schema, self.options)
+        pushing = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (PushingReader if pushing else WarcReader)(schema, self.options)
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options)
@@ -404,15 +439,20 @@ class WarcDataSource(ds.DataSource):
 
 def register(spark: SparkSession) -> None:
     prepare(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
 
-def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Records under a path; with columns of headers alone no block is decoded."""
+def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None, where: list[tuple] = ()) -> DataFrame:
+    """Records under a path; with columns of headers alone no block is decoded.
+
+    ``where`` lists predicates on header columns, (column, test, value) with a
+    test of ``TESTS``, which readers apply to parsed headers before anything else.
+    """
     register(spark)
+    for one in where:
+        predicate(*one)
     kinds = dict(f.split() for f in SCHEMA.split(", "))
-    return spark.read.format("warc").schema(", ".join(f"{c} {kinds[c]}" for c in columns or kinds)).load(path)
+    return spark.read.format("warc").schema(", ".join(f"{c} {kinds[c]}" for c in columns or kinds)).option("where", json.dumps(list(where))).load(path)
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:
