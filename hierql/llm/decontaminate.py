@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from .common import annotate, mix64, prepare
 from .shingles import words
 
-#: Fixed masks: ones are compared.  Every mask has eight ones.
-MASKS = ("11111111", "111010010111", "110110101011", "101101110101", "111101001011")
+#: Fixed masks: ones are compared.  The spaced ones have eight ones; the short one is for short items that were cut.
+MASKS = ("111111", "11111111", "111010010111", "110110101011", "101101110101", "111101001011")
 SHORTEST = 4
 _FACTORS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 HIT = T.StructType([T.StructField(n, t) for n, t in (("item_id", T.LongType()), ("matched", T.IntegerType()), ("words", T.IntegerType()), ("first_word", T.IntegerType()), ("last_word", T.IntegerType()))])

@@ -131,7 +131,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], ranges: int | No
     ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(lowest))
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(ids.alias("hq_id"), *[F.col(f"`{c}`") for c in columns])
-    found = own.approxQuantile("hq_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    found = own.approxQuantile("hq_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
     bounds = np.unique(np.array(found, np.float64)).astype(np.int64) if found else np.zeros(0, np.int64)
 
     @F.pandas_udf("int")
