@@ -277,11 +277,18 @@ class Lowering:
         return frame, names, keys
 
     def windowed(self, scope: Scope, frame: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
-        """Rows within the level's limit and offset per parent, numbered by ``_pos``."""
+        """Rows within the level's limit and offset per parent, in the order of ``_pos``.
+
+        They are numbered where the query orders or cuts them; else ``_pos`` is
+        the order that they have anyway.
+        """
         limit, offset = self.plan.limits.get(scope), self.plan.offsets.get(scope, 0)
         parents = self.GROUPS[scope][:-1]
         if limit is None and not offset and not keys:
-            return frame.withColumn("_pos", F.col("_first")[ORDERS[scope]]) if self.kinds[scope] == "each" else frame.withColumn("_pos", F.row_number().over(W.partitionBy(*parents).orderBy("_first")).cast("long"))
+            if self.kinds[scope] == "each":
+                return frame.withColumn("_pos", F.col("_first")[ORDERS[scope]])
+            if scope != EVENT:  # a log may have any number of groups: they are not numbered in one task
+                return frame.withColumn("_pos", F.col("_first"))
         window = W.partitionBy(*parents) if parents else W.partitionBy()
         frame = frame.withColumn("_pos", F.row_number().over(window.orderBy(*[ordering(c, d) for c, d in keys], "_first", self.GROUPS[scope][-1])).cast("long"))
         if limit is not None:
