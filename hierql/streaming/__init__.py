@@ -1,0 +1 @@
+"""The query language is one-shot: there are no streaming operators."""
