@@ -66,7 +66,9 @@ class Binding:
             return as_type(F.expr(found), frame.select(F.expr(found)).dtypes[0][1], target)
         if self.attrs is not None and a.kind == "custom":
             if a.path:
-                return F.get_json_object(F.col(self.attrs)[a.path[0]]["children"], "$" + "".join(f"['{p}']" for p in a.path[1:]))
+                parent, child = a.path
+                found = F.from_json(F.col(self.attrs)[parent]["children"], "map<string,string>")[child]
+                return F.when(found.startswith('{"'), F.get_json_object(found, "$.value")).otherwise(found)
             return union_value(F.col(self.attrs)[a.name], want)
         kind = a.type if a.kind == "standard" else want
         return F.lit(None).cast((kind or Type.STRING).sql)

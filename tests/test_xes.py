@@ -24,7 +24,7 @@ DOCUMENT = """<?xml version="1.0" encoding="UTF-8"?>
   <global><string key="con:name" value="none"/></global>
   <classifier name="Activity" keys="concept:name"/>
   <string key="con:name" value="Sample"/>
-  <string key="source" value="hand"><int key="year" value="2024"/></string>
+  <string key="source" value="hand"><int key="year" value="2024"><string key="by" value="me"/></int><string key="it's" value="q"/></string>
   <list key="tags"><values><string key="a" value="x"/><string key="a" value="y"/></values></list>
   <trace>
     <string key="con:name" value="C1"/><int key="priority" value="3"/>
@@ -88,8 +88,9 @@ def test_values_that_do_not_parse_stay_text():
 def test_custom_and_nested_attributes_in_queries(store):
     r = execute(store, "select t:name where [t:priority] > 2")
     assert [x.t_concept_name for x in r.traces.collect()] == ["C1"]
-    r = execute(store, "select l:name where [l:\x1fssource\x1fsyear] = 2024")
+    r = execute(store, "select l:name where [l:\x1fssource\x1fyear] = 2024")
     assert r.logs.count() == 1
+    assert execute(store, "where [l:\x1fssource\x1fit's] = 'q' and not [l:\x1fssource\x1fnone] is not null").logs.count() == 1
     r = execute(store, "select count(e:name) group by c:Activity")
     assert r.events.count() == 3
 
