@@ -237,8 +237,12 @@ class Lowering:
 
     # -- the rows of a level --
 
-    def spine(self, scope: Scope) -> tuple[DataFrame, dict, list[tuple[Column, bool]]]:
-        """(groups of a level with everything to project or order by, aggregate columns, order keys)."""
+    def spine(self, scope: Scope, kept: DataFrame | None = None) -> tuple[DataFrame, dict, list[tuple[Column, bool]]]:
+        """(groups of a level with everything to project or order by, aggregate columns, order keys).
+
+        Only groups below the kept parents are formed: whole groups go, so
+        aggregates still read all of their population.
+        """
         groups, kind = self.GROUPS[scope], self.kinds[scope]
         rows = self.map(scope)
         shown = [e for c, e in self.columns if c.scope == scope]
@@ -253,6 +257,8 @@ class Lowering:
                     wanted.setdefault((level, whole, at), []).append((a, names[a, in_order]))
         plain = [b for e in [*shown, *[e for e, _ in ordered]] for b in plain_bounds(e)]
         rows = self.with_parents(rows, scope, plain_tuple(plain))
+        if kept is not None:
+            rows = rows.join(kept, kept.columns, "left_semi")
         orders = [ORDERS[s] for s in Scope if s <= scope]
         stars = [c for c in self.base[scope].columns if c not in (*IDS[scope], ORDERS[scope]) and not c.startswith("x")] if scope in self.plan.stars else []
         merged = any(self.kinds[Scope(s)] != "each" for s in range(scope + 1))
@@ -305,7 +311,7 @@ class Lowering:
         out: dict[Scope, LevelResult] = {}
         kept: DataFrame | None = None
         for scope in Scope:
-            frame, names, keys = self.spine(scope)
+            frame, names, keys = self.spine(scope, kept)
             if scope == LOG and (child := self.log_keys()) is not None:
                 below, _, child_keys = self.spine(child)
                 ranked = [c.alias(f"rank{i}") for i, (c, _) in enumerate(child_keys)]
@@ -313,11 +319,8 @@ class Lowering:
                 first = below.select("lg", *ranked, F.row_number().over(best).alias("n")).where("n = 1").drop("n")
                 frame = frame.join(first, "lg", "left")
                 keys = [(F.col(f"rank{i}"), d) for i, (_, d) in enumerate(child_keys)]
-            cut = scope != LOG and kept is not None
-            if cut:
-                frame = frame.join(kept, kept.columns, "left_semi")
             frame = self.windowed(scope, frame, keys)
-            if cut or self.plan.limits.get(scope) or self.plan.offsets.get(scope):
+            if kept is not None or self.plan.limits.get(scope) or self.plan.offsets.get(scope):
                 kept = frame.select(*self.GROUPS[scope])
             out[scope] = self.project(scope, frame, names)
         return out
