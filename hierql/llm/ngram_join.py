@@ -12,8 +12,8 @@
 4. Groups in which pairs are left get their members' shingles, and those pairs
    are verified exactly.  Groups report each member's number of links and its
    local component; pairs never become rows.
-5. Components are found by passing the smallest id along groups until nothing
-   changes, each round written to the shared folder.
+5. Components are found by passing the smallest id along groups and contracting
+   them until nothing changes, each round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -101,29 +101,56 @@ def candidate_groups(nodes: DataFrame, block: int) -> DataFrame:
     return cells.groupBy("members").agg(F.min("band").alias("band"))
 
 
-def pairs_of(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not sides.any():
-        return np.triu_indices(len(sides), 1)
-    return tuple(x.ravel() for x in np.meshgrid(np.flatnonzero(sides == 1), np.flatnonzero(sides == 2), indexing="ij"))
+def tiles(sides: np.ndarray, width: int = 256):
+    """All pairs to compare, a bounded number at a time."""
+    one, other = (np.flatnonzero(sides == 1), np.flatnonzero(sides == 2)) if sides.any() else (np.arange(len(sides)),) * 2
+    for a in range(0, len(one), width):
+        for b in range(0 if sides.any() else a, len(other), width):
+            left, right = (x.ravel() for x in np.meshgrid(one[a : a + width], other[b : b + width], indexing="ij"))
+            if not sides.any() and a == b:
+                left, right = left[left < right], right[left < right]
+            yield left, right
 
 
 def prune(sketches: np.ndarray, sides: np.ndarray, band: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose first common band is ``band`` and that survive every comparison."""
-    left, right = pairs_of(sides)
     width = HASHES // BANDS
-    matches = np.zeros(len(left), np.int16)
-    for at in range(0, HASHES, STEP):
-        equal = sketches[left, at : at + STEP] == sketches[right, at : at + STEP]
-        matches += equal.sum(axis=1, dtype=np.int16)
-        keep = matches >= least_matches(at + STEP, threshold, tolerance)
-        agree = equal.reshape(len(left), STEP // width, width).all(axis=2)
-        for k in range(STEP // width):
-            if at // width + k < band:
-                keep &= ~agree[:, k]
-        left, right, matches = left[keep], right[keep], matches[keep]
-        if not len(left):
-            break
-    return left, right
+    kept = [(np.zeros(0, np.int64),) * 2]
+    for left, right in tiles(sides):
+        matches = np.zeros(len(left), np.int16)
+        for at in range(0, HASHES, STEP):
+            equal = sketches[left, at : at + STEP] == sketches[right, at : at + STEP]
+            matches += equal.sum(axis=1, dtype=np.int16)
+            keep = matches >= least_matches(at + STEP, threshold, tolerance)
+            agree = equal.reshape(len(left), STEP // width, width).all(axis=2)
+            for k in range(STEP // width):
+                if at // width + k < band:
+                    keep &= ~agree[:, k]
+            left, right, matches = left[keep], right[keep], matches[keep]
+            if not len(left):
+                break
+        kept.append((left, right))
+    return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+
+
+def split_pairs(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, most_members: int = 256, most_shingles: int = 1 << 19):
+    """The pairs of a group by pairs of chunks of its members, as (members, left, right) with positions in members.
+
+    A chunk has few members and few shingles, so the sets of two chunks fit in
+    memory (a single larger set is a chunk of its own).
+    """
+    used = np.unique(np.concatenate([left, right]))
+    chunk = np.zeros(len(sizes), np.int64)
+    now = members = shingles_in = 0
+    for u in used:
+        if members and (members == most_members or shingles_in + sizes[u] > most_shingles):
+            now, members, shingles_in = now + 1, 0, 0
+        chunk[u], members, shingles_in = now, members + 1, shingles_in + sizes[u]
+    key = np.minimum(chunk[left], chunk[right]) * (now + 1) + np.maximum(chunk[left], chunk[right])
+    for k in np.unique(key):
+        own = key == k
+        there, at = np.unique(np.concatenate([left[own], right[own]]), return_inverse=True)
+        yield there, at
 
 
 def surviving_groups(groups: DataFrame, nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -137,14 +164,14 @@ def surviving_groups(groups: DataFrame, nodes: DataFrame, threshold: float, tole
                 sketches = np.frombuffer(b"".join(m["sketch"] for m in row), np.uint32).reshape(len(row), HASHES)
                 left, right = prune(sketches, np.array([m["side"] for m in row]), band, threshold, tolerance)
                 if len(left):
-                    used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-                    members.append([row[u]["node"] for u in used])
-                    kept.append(at.astype(np.uint16).tobytes())
+                    for used, at in split_pairs(left, right, np.array([m["size"] for m in row])):
+                        members.append([row[u]["node"] for u in used])
+                        kept.append(at.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(members, pa.list_(pa.binary())), pa.array(kept, pa.binary())], names=["members", "pairs"])
 
     keyed = groups.select(F.xxhash64("members", "band").alias("group"), F.size("members").alias("n"), "band", F.explode("members").alias("m"))
-    rows = keyed.select("group", "n", "band", F.col("m.node").alias("node"), F.col("m.side").alias("side")).join(nodes.select("node", "sketch"), "node")
-    whole = rows.groupBy("group", "band", "n").agg(F.collect_list(F.struct("node", "side", "sketch")).alias("members"))
+    rows = keyed.select("group", "n", "band", F.col("m.node").alias("node"), F.col("m.side").alias("side")).join(nodes.select("node", "size", "sketch"), "node")
+    whole = rows.groupBy("group", "band", "n").agg(F.collect_list(F.struct("node", "side", "size", "sketch")).alias("members"))
     return whole.select("members", "band").mapInArrow(run, "members array<binary>, pairs binary")
 
 
@@ -188,7 +215,11 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def verified_links(survivors: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
-    """(edge, node, links): links of a node found in a group; edge names its local component."""
+    """(edge, nodes, links, low): the local components of every group.
+
+    ``links`` counts what was found for each node, ``low`` is the smallest
+    struct(id, node) among them.
+    """
     keyed = survivors.select(F.xxhash64("members", "pairs").alias("group"), "members", "pairs")
     wanted = keyed.select(F.explode("members").alias("node")).distinct().join(classes, "node").select("node", "id", "copies")
 
@@ -197,18 +228,18 @@ def verified_links(survivors: DataFrame, classes: DataFrame, docs: DataFrame, id
             values, bounds = shingles(batch.column(2).to_pylist(), width)
             sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             right = pa.array([set_digest(s) == node for s, node in zip(sets, batch.column(0).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "copies", "shingles"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "copies", "id", "shingles"])
             yield out.filter(right)
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = texts.join(wanted, "id").select("node", "copies", "text").mapInArrow(cut, "node binary, copies long, shingles binary").dropDuplicates(["node"])
+    sets = texts.join(wanted, "id").select("node", "copies", "text", "id").mapInArrow(cut, "node binary, copies long, id long, shingles binary").dropDuplicates(["node"])
     placed = keyed.select("group", "pairs", F.posexplode("members").alias("at", "node"))
     members = placed.select("group", "at", "node", F.when(F.col("at") == 0, F.col("pairs")).alias("pairs")).join(sets, "node")
-    whole = members.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "node", "copies", "shingles"))).alias("members"), F.max("pairs").alias("pairs"))
+    whole = members.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "node", "id", "copies", "shingles"))).alias("members"), F.max("pairs").alias("pairs"))
 
     def verify(batches):
         for batch in batches:
-            edges, nodes, links = [], [], []
+            edges, nodes, links, low = [], [], [], []
             for group, row, pairs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 left, right = np.frombuffer(pairs, np.uint16).reshape(2, -1).astype(np.int64)
                 own = [np.frombuffer(m["shingles"], np.uint64) for m in row]
@@ -220,26 +251,38 @@ def verified_links(survivors: DataFrame, classes: DataFrame, docs: DataFrame, id
                     continue
                 degree = np.bincount(left, copies[right], len(row)) + np.bincount(right, copies[left], len(row))
                 component = local_components(len(row), left, right)
-                for i in np.flatnonzero(degree):
-                    edges.append(f"{group}:{component[i]}")
-                    nodes.append(row[i]["node"])
-                    links.append(int(degree[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(edges, pa.string()), pa.array(nodes, pa.binary()), pa.array(links, pa.int64())], names=["edge", "node", "links"])
+                for c in np.unique(component[degree > 0]):
+                    own = np.flatnonzero((component == c) & (degree > 0))
+                    edges.append(f"{group}:{c}")
+                    nodes.append([row[i]["node"] for i in own])
+                    links.append(degree[own].astype(np.int64))
+                    low.append(dict(zip(("id", "node"), min((row[i]["id"], row[i]["node"]) for i in own), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(edges, pa.string()), pa.array(nodes, pa.list_(pa.binary())), pa.array(links, pa.list_(pa.int64())), pa.array(low, pa.struct([("id", pa.int64()), ("node", pa.binary())]))], names=["edge", "nodes", "links", "low"])
 
-    return whole.select("group", "members", "pairs").mapInArrow(verify, "edge string, node binary, links long")
+    return whole.select("group", "members", "pairs").mapInArrow(verify, "edge string, nodes array<binary>, links array<long>, low struct<id:bigint,node:binary>")
 
 
-def components(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, label): the smallest id of each node's component."""
-    spark = edges.sparkSession
-    labels = materialize(edges.select("node").distinct().join(classes.select("node", "id"), "node").select("node", F.col("id").alias("label")), "labels")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest struct(id, node) of each node's component.
+
+    An edge joins all its nodes; it stays one row, so no edge weighs more than
+    another.  Nodes first take the smallest label of their edges.  Then edges are
+    contracted to the labels that their nodes have, and those with more than one
+    pass the smallest on, until none is left; only labels that change are looked at again.
+    """
+    first = edges.select("low", F.explode("nodes").alias("node")).groupBy("node").agg(F.min("low").alias("label"))
+    labels = materialize(first, "labels")
+    members = edges.select("edge", F.explode("nodes").alias("node")).join(labels, "node").select("edge", "label")
     while True:
-        low = edges.join(labels, "node").groupBy("edge").agg(F.min("label").alias("low"))
-        best = edges.select("edge", "node").join(low, "edge").groupBy("node").agg(F.min("low").alias("low"))
-        after = materialize(labels.join(best, "node").select("node", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("changed")), "labels")
-        labels = after.select("node", "label")
-        if not after.where("changed").take(1):
+        open_edges = materialize(members.groupBy("edge").agg(F.collect_set("label").alias("labels")).where(F.size("labels") > 1), "open")
+        if not open_edges.take(1):
             return labels
+        step = open_edges.select(F.array_min("labels").alias("to"), F.explode("labels").alias("from")).groupBy("from").agg(F.min("to").alias("to"))
+        step = materialize(step, "step")
+        moved = F.coalesce("to", "label")
+        on = F.col("label.node") == F.col("from.node")
+        labels = materialize(labels.join(step, on, "left").select("node", moved.alias("label")), "labels")
+        members = open_edges.select("edge", F.explode("labels").alias("label")).join(step, on, "left").select("edge", moved.alias("label"))
 
 
 def similarity_classes(
@@ -249,7 +292,7 @@ def similarity_classes(
     threshold: float = 0.8,
     width: int = WIDTH,
     tolerance: float = 1e-6,
-    block: int = 256,
+    block: int = 2048,
 ) -> DataFrame:
     """(id, class_id, links, copies) for every row of ``docs``.
 
@@ -263,15 +306,16 @@ def similarity_classes(
     spark = docs.sparkSession
     prepare(spark)
     sketches = materialize(sketch(docs, id_col, text_col, width), "sketches")
-    counted = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    counted = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = materialize(counted, "nodes")
     classes = nodes.select("node", "id", "copies")
     groups = materialize(candidate_groups(nodes, block), "groups")
     survivors = materialize(surviving_groups(groups, nodes, threshold, tolerance), "survivors")
     links = materialize(verified_links(survivors, classes, docs, id_col, text_col, width, threshold), "links")
-    found = components(links.select("edge", "node"), classes).join(links.groupBy("node").agg(F.sum("links").alias("links")), "node")
+    counts = links.select(F.explode(F.arrays_zip("nodes", "links")).alias("x")).groupBy("x.nodes").agg(F.sum("x.links").alias("links")).withColumnRenamed("nodes", "node")
+    found = components(links.select("edge", "nodes", "low")).join(counts, "node")
     whole = classes.join(found, "node", "left").select(
-        "node", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies"
+        "node", F.coalesce("label.id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies"
     )
     whole = materialize(whole, "classes")
     kept = sketches.where("node IS NOT NULL").select("id", "node").join(whole, "node").select("id", "class_id", "links", "copies")
