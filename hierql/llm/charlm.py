@@ -29,17 +29,13 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 @cache
 def letter_table() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x30000)])
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def has_letter(text: str) -> bool:
-    return any(c.isalpha() and ord(c) < 0x30000 for c in text)
-
-
 def predictions(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (n, ORDER), predicted one first, then its context backwards; token of each row.
 
@@ -47,8 +43,7 @@ def predictions(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start (symbol 0), and a word's end is predicted as symbol END.
     """
     raw = code_points("\n".join(tokens) + "\n")
-    table = letter_table()
-    letter = table[np.minimum(raw, len(table) - 1)] & (raw < len(table))
+    letter = letter_table()[raw]
     padded = np.concatenate([np.zeros(ORDER, np.uint32), np.where(letter, raw, 0).astype(np.uint32)])
     at = np.flatnonzero((padded[ORDER:] > 0) | (padded[ORDER - 1 : -1] > 0)) + ORDER
     out = np.zeros((len(at), ORDER), np.uint32)
@@ -74,7 +69,7 @@ def gram_hashes(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]
     return grams, contexts
 
 
-def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 30_000) -> DataFrame:
+def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 60_000) -> DataFrame:
     """(grp, gram, n): counts of the longest n-grams by group, over every row.
 
     ``gram`` holds ORDER code points, the predicted one first.
