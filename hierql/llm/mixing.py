@@ -103,15 +103,28 @@ def taken() -> Column:
     return F.aggregate("mix_items", F.lit(0).cast("long"), lambda total, item: total + item["words"])
 
 
-def mix_schedule(queued: DataFrame) -> DataFrame:
-    """The mix itself: one row per pass over a document, in global order of virtual finish time."""
+def mix_schedule(queued: DataFrame, id_col: str = "doc_id", slices: int = 4096) -> DataFrame:
+    """The mix itself: one row per pass over a document, range-sorted by virtual finish time.
+
+    ``mix_position`` is the number of words before it in the mix, which ends at
+    the total budget.  Running totals are taken in two steps, over slices of
+    virtual time (all queues are served evenly, so these hold about as many
+    words each) and within a slice.
+    """
     keep = [c for c in queued.columns if c != "mix_items"]
-    return queued.select(*[F.col(f"`{c}`") for c in keep], F.inline("mix_items").alias("mix_epoch", "mix_words", "mix_finish")).orderBy("mix_finish")
+    rows = queued.select(*[F.col(f"`{c}`") for c in keep], F.inline("mix_items").alias("mix_epoch", "mix_words", "mix_finish"))
+    rows = rows.withColumn("mix_slice", F.floor(F.col("mix_finish") * slices))
+    totals = rows.groupBy("mix_slice").agg(F.sum("mix_words").alias("mix_slice_words"))
+    before = W.orderBy("mix_slice").rowsBetween(W.unboundedPreceding, -1)  # at most slices + 1 rows
+    offsets = totals.select("mix_slice", F.coalesce(F.sum("mix_slice_words").over(before), F.lit(0)).alias("mix_offset"))
+    within = W.partitionBy("mix_slice").orderBy("mix_finish", F.col(f"`{id_col}`"), "mix_epoch").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("mix_position", F.coalesce(F.sum("mix_words").over(within), F.lit(0))).join(offsets, "mix_slice").withColumn("mix_position", F.col("mix_position") + F.col("mix_offset"))
+    return rows.drop("mix_slice", "mix_offset").orderBy("mix_position")
 
 
 def op6_weighted_fair_mix(spark, sf_dir: str) -> DataFrame:
     queued = fair_queue(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-    return queued.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken().alias("taken"))
+    return queued.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken().alias("taken"), F.get("mix_items", F.lit(0))["finish"].alias("finish"))
 
 
 OP6_SQL = r"""
@@ -138,6 +151,7 @@ WITH docs AS (
 )
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size))
-    + greatest(0, least(size, floor(target)::BIGINT - start - 2 * source_size)))::BIGINT AS taken
+    + greatest(0, least(size, floor(target)::BIGINT - start - 2 * source_size)))::BIGINT AS taken,
+  CASE WHEN size > 0 AND floor(target)::BIGINT > start THEN (start + least(size, floor(target)::BIGINT - start))::DOUBLE / target END AS finish
 FROM queued
 """

@@ -105,6 +105,11 @@ def test_schedule_is_in_virtual_time_and_repeats(docs):
     schedule = mixing.mix_schedule(mixing.fair_queue(docs)).collect()
     finish = [r.mix_finish for r in schedule]
     assert finish == sorted(finish) and max(finish) <= 1
+    position = 0
+    for r in schedule:
+        assert r.mix_position == position
+        position += r.mix_words
+    assert position <= sum(len((r.text or "").split()) for r in docs.collect())
     served = defaultdict(list)
     for r in schedule:
         served[r.source].append(r.mix_finish)
