@@ -40,14 +40,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there."""
+    """Write a frame to the shared folder and read it back: lineage ends there.
+
+    The written table stays for as long as a result may be read from it; see
+    ``remove_materialized``.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_materialized(spark: SparkSession) -> None:
+    """Delete the tables that this process has written; results not stored by then are lost."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -58,6 +73,7 @@ def prepare(spark: SparkSession, rows: int = 256) -> None:
     texts fit in a worker's memory.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]

@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 
 def regress(values: np.ndarray, lengths: np.ndarray, y: np.ndarray, kept: int) -> tuple[dict[int, float], float]:
-    """Logistic regression on the features with the highest likelihood ratio; classes weigh by the root of their share."""
+    """Logistic regression on the features with the highest likelihood ratio, both classes weighing the same."""
     row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
     n, p, total = len(y), y.sum(), np.bincount(values, minlength=1 << FEATURE_BITS).astype(float)
     toxic = np.bincount(values[y[row] > 0], minlength=1 << FEATURE_BITS).astype(float)
@@ -309,16 +309,16 @@ def regress(values: np.ndarray, lengths: np.ndarray, y: np.ndarray, kept: int) -
     place[best] = np.arange(len(best))
     used = np.flatnonzero(place[values] >= 0)
     row, column = row[used], place[values[used]]
-    weight = np.where(y == 1, np.sqrt((n - p) / p), 1.0)
+    weight = np.where(y == 1, (n - p) / p, 1.0)
     weight /= weight.mean()
     w, m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     w[-1] = -2.0
-    for step in range(1, 401):
+    for step in range(1, 601):
         z = np.bincount(row, weights=w[column], minlength=n) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight / n
-        g = np.append(np.bincount(column, weights=error[row], minlength=len(best)), error.sum()) + 2e-5 * np.append(w[:-1], 0)
+        g = np.append(np.bincount(column, weights=error[row], minlength=len(best)), error.sum()) + 1e-6 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        w -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return dict(zip(best.tolist(), w[:-1].tolist(), strict=True)), float(w[-1])
 
 
