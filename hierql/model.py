@@ -114,3 +114,11 @@ class EventStore:
             return self
         ids = logs.select("log_id").distinct()
         return replace(self, levels={s: df.join(ids, "log_id", "left_semi") for s, df in self.levels.items()})
+
+    def statistics(self) -> DataFrame:
+        """(log_id, traces, events) of every log, zeros included."""
+        counts = [self.levels[s].groupBy("log_id").agg(F.count(F.lit(1)).alias(f"{s.label}s")) for s in (Scope.TRACE, Scope.EVENT)]
+        out = self.logs.select("log_id")
+        for c in counts:
+            out = out.join(c, "log_id", "left")
+        return out.na.fill(0, ["traces", "events"])

@@ -12,21 +12,26 @@ from hierql.operators.lowering import Lowering
 from hierql.plans.compiler import Plan, compile_query
 
 
-def delete(store: EventStore, query: str) -> tuple[EventStore, dict[Scope, int]]:
-    """(store without the matching components, number of components deleted per scope).
+def without(store: EventStore, query: str) -> tuple[EventStore, EventStore]:
+    """(what a delete query leaves, what it deletes), both lazy.
 
-    Parents stay, even if nothing is left below them.  The result is a new
-    store: writing it in one piece makes the deletion atomic.
+    Parents stay, even if nothing is left below them.  Writing what is left in
+    one piece makes the deletion atomic.
     """
     plan = compile_query(query, store.classifiers)
     if plan.delete is None:
         raise ValueError("not a delete query")
-    found = Lowering(store, Plan(where=plan.where)).members
-    gone = found[plan.delete].select(*IDS[plan.delete])
-    levels, counts = dict(store.levels), {}
+    on = IDS[plan.delete]
+    gone = Lowering(store, Plan(where=plan.where)).members[plan.delete].select(*on)
+    kept, dropped = dict(store.levels), {}
     for scope in Scope:
         if scope >= plan.delete:
-            on = IDS[plan.delete]
-            levels[scope] = store.levels[scope].join(gone, on, "left_anti")
-            counts[scope] = store.levels[scope].join(gone, on, "left_semi").agg(F.count(F.lit(1))).first()[0]
-    return replace(store, levels=levels), counts
+            kept[scope] = store.levels[scope].join(gone, on, "left_anti")
+            dropped[scope] = store.levels[scope].join(gone, on, "left_semi")
+    return replace(store, levels=kept), replace(store, levels=dropped)
+
+
+def delete(store: EventStore, query: str) -> tuple[EventStore, dict[Scope, int]]:
+    """(store without the matching components, number of components deleted per scope)."""
+    kept, dropped = without(store, query)
+    return kept, {scope: rows.agg(F.count(F.lit(1))).first()[0] for scope, rows in dropped.levels.items()}

@@ -13,7 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hierql.engine import execute
+from hierql.engine import DEFAULT_LIMITS, execute
+from hierql.functions.catalog import Scope
+from hierql.model import IDS
+from hierql.operators.delete import without
 from hierql.sources import adapters
 
 STORES = {"clicks": adapters.clickstream, "orders": adapters.orders, "talks": adapters.dialogues}
@@ -121,6 +124,7 @@ add("x_round", "orders", "select round(e:total), round(0 - [e:l_quantity] / 2)",
 add("x_arithmetic", "orders", "select (e:total + 1) * 2 - [e:l_tax] / [e:l_discount]", "events", "event_id;v=round(col_0, 6)", "SELECT event_id, round((total + 1) * 2 - l_tax / CASE WHEN l_discount = 0 THEN NULL ELSE l_discount END, 6) AS v FROM e")
 add("x_concat", "orders", "select [e:l_returnflag] + e:resource, e:name + '!'", "events", "event_id;a=col_0;b=col_1", "SELECT event_id, l_returnflag || resource AS a, name || '!' AS b FROM e")
 add("x_null_propagation", "orders", "select e:total + null, t:total * null", "flat", "event_id;a=col_0;b=col_1", "SELECT event_id, NULL::DOUBLE AS a, NULL::DOUBLE AS b FROM e")
+add("x_negative_numbers", "orders", "select e:total * -1.5e0, -2 + e:total", "events", "event_id;a=round(col_0, 4);b=round(col_1, 4)", "SELECT event_id, round(total * -1.5, 4) AS a, round(total - 2, 4) AS b FROM e")
 add("x_now", "orders", "select now() limit l:1, t:1, e:1", "events", "event_id;t=fn_0", None)
 
 # -- aggregates and groups ------------------------------------------------------------------
@@ -176,9 +180,56 @@ add("o14_aggregate_before_limit", "orders", "select count(t:name) limit t:1, e:1
 add("o15_window_then_aggregate", "orders", "select min(e:timestamp), max(e:timestamp) limit l:2, t:10", "events", "log_id;trace_id;a=fn_0;b=fn_1", "SELECT log_id, trace_id, min(ts) AS a, max(ts) AS b FROM e WHERE (log_id, tid) IN (SELECT (log_id, tid) FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY tid) AS tn, dense_rank() OVER (ORDER BY log_id) AS ln FROM t) WHERE tn <= 10 AND ln <= 2) GROUP BY log_id, tid, trace_id")
 
 
+# -- beyond reading -------------------------------------------------------------------------
+
+
+def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A data store of two of the logs."""
+    store = adapters.orders(spark, sf_dir)
+    logs = store.logs.where(F.col("log_id").isin("AUTOMOBILE", "MACHINERY"))
+    return execute(store.only(logs=logs), "select l:name, count(^e:name) group by l:name, t:name limit t:2").flat().select(F.col("l_concept_name").alias("name"), F.col("fn_1").alias("n"))
+
+
+def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caps of interactive reads, which the query's own limit lowers."""
+    return execute(adapters.clickstream(spark, sf_dir), "select e:name limit e:4", limits=DEFAULT_LIMITS).events.select("trace_id", "event_id")
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.orders(spark, sf_dir).statistics()
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebuilt hierarchy, as sizes and the first names of every trace."""
+    rows = execute(adapters.dialogues(spark, sf_dir), "select t:name, e:name limit t:50, e:3").nested()
+    trace = rows.select(F.explode("traces").alias("t"))
+    return trace.select(F.col("t.t_concept_name").alias("name"), F.size("t.events").cast("long").alias("n"), F.array_join(F.transform("t.events", lambda e: e["e_concept_name"]), ">").alias("roles"))
+
+
+def rest(query: str, level: Scope):
+    """What a delete query leaves of a level."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kept, _ = without(adapters.orders(spark, sf_dir), query)
+        return kept.levels[level].select(*IDS[level][1:])
+
+    return run
+
+
+CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "s2_datastore_scan": (attached, ORDERS_SQL + "SELECT log_id AS name, n FROM (SELECT t.log_id, t.tid, count(e.n) AS n, row_number() OVER (PARTITION BY t.log_id ORDER BY t.tid) AS rn FROM t LEFT JOIN e USING (log_id, tid) WHERE t.log_id IN ('AUTOMOBILE', 'MACHINERY') GROUP BY t.log_id, t.tid) WHERE rn <= 2"),
+    "s19_log_statistics": (statistics, ORDERS_SQL + "SELECT log_id, (SELECT count(*) FROM t WHERE t.log_id = l.log_id) AS traces, (SELECT count(*) FROM e WHERE e.log_id = l.log_id) AS events FROM l"),
+    "k2_hierarchy": (nested, TALKS_SQL + "SELECT trace_id AS name, count(*) AS n, string_agg(name, '>' ORDER BY n) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY n) AS rn FROM e WHERE tid IN (SELECT tid FROM t ORDER BY tid LIMIT 50)) WHERE rn <= 3 GROUP BY trace_id"),
+    "o11_default_caps": (capped, CLICKS_SQL + "SELECT trace_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY ts, n) AS rn, dense_rank() OVER (ORDER BY tid) AS tn FROM e) WHERE rn <= 4 AND tn <= 30"),
+    "m1_delete_events": (rest("delete where e:name = 'RF' or e:total > 80000", Scope.EVENT), ORDERS_SQL + "SELECT trace_id, event_id FROM e WHERE NOT (name = 'RF' OR total > 80000)"),
+    "m1_delete_traces_cascades": (rest("delete trace where ^e:total > 90000 and t:total < 400000", Scope.EVENT), ORDERS_SQL + "SELECT trace_id, event_id FROM e WHERE tid NOT IN (SELECT e.tid FROM e JOIN t USING (tid) WHERE e.total > 90000 AND t.total < 400000)"),
+    "m1_delete_traces": (rest("delete trace where [t:o_orderstatus] = 'F'", Scope.TRACE), ORDERS_SQL + "SELECT trace_id FROM t WHERE o_orderstatus <> 'F'"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q.run for name, q in QUERIES.items()}
+    return {name: q.run for name, q in QUERIES.items()} | {name: run for name, (run, _) in CUSTOM.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in QUERIES.items() if q.sql}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql} | {name: sql for name, (_, sql) in CUSTOM.items()}

@@ -183,10 +183,7 @@ class Catalog:
 
     def statistics(self, store: str | None = None) -> DataFrame:
         """(log_id, traces, events) of every log, zeros included."""
-        found = self.event_store(store)
-        traces = found.traces.groupBy("log_id").agg(F.count(F.lit(1)).alias("traces"))
-        events = found.events.groupBy("log_id").agg(F.count(F.lit(1)).alias("events"))
-        return found.logs.select("log_id").join(traces, "log_id", "left").join(events, "log_id", "left").na.fill(0, ["traces", "events"])
+        return self.event_store(store).statistics()
 
     def log_summaries(self, store: str) -> DataFrame:
         """(log_id, name, traces, events) of a data store's logs."""

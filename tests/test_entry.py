@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from hierql.queries import QUERIES
+from hierql import queries as core
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -38,16 +38,16 @@ def test_flagship(spark):
 
 
 def test_every_query_is_listed():
-    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(core.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(q for q in QUERIES if QUERIES[q].sql))
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_rows_match_sql(spark, connection, name):
-    got = QUERIES[name].run(spark, DATA)
+    got = core.queries()[name](spark, DATA)
     columns = sorted(got.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
-    relation = connection.sql(QUERIES[name].sql)
+    relation = connection.sql(core.oracle_sql()[name])
     assert sorted(relation.columns) == columns
     order = [relation.columns.index(c) for c in columns]
     assert sorted(tuple(plain(r[i]) for i in order) for r in relation.fetchall()) == rows
