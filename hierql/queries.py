@@ -40,7 +40,7 @@ class Registered:
 #: The three levels of each adapter, as SQL views of their own.
 ORDERS_SQL = """WITH l AS (SELECT DISTINCT c_mktsegment AS log_id FROM customer),
 t AS (SELECT c_mktsegment AS log_id, o_orderkey AS tid, CAST(o_orderkey AS VARCHAR) AS trace_id, o_totalprice AS total, o_orderpriority, o_orderstatus, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey),
-e AS (SELECT t.log_id, t.tid, t.trace_id, (l_linenumber, l_partkey, l_suppkey) AS n, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS event_id, l_returnflag || l_linestatus AS name, l_shipdate AS ts, l_extendedprice AS total, CAST(l_suppkey AS VARCHAR) AS resource, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem JOIN t ON l_orderkey = t.tid)
+e AS (SELECT t.log_id, t.tid, t.trace_id, (l_linenumber, l_partkey, l_suppkey, l_shipdate) AS n, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS event_id, l_returnflag || l_linestatus AS name, l_shipdate AS ts, l_extendedprice AS total, CAST(l_suppkey AS VARCHAR) AS resource, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem JOIN t ON l_orderkey = t.tid)
 """
 CLICKS_SQL = """WITH t AS (SELECT DISTINCT 'events' AS log_id, user_id AS tid, CAST(user_id AS VARCHAR) AS trace_id FROM events),
 e AS (SELECT 'events' AS log_id, user_id AS tid, CAST(user_id AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS event_id, event_id AS n, ts, event_type AS name, value AS total, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)

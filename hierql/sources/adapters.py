@@ -51,8 +51,8 @@ def orders(spark: SparkSession, sf_dir: str) -> EventStore:
     )
     lines = table(spark, sf_dir, "lineitem").join(own.select("o_orderkey", "log_id"), F.col("l_orderkey") == F.col("o_orderkey"))
     events = lines.select(
-        "log_id", F.col("l_orderkey").cast("string").alias("trace_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("event_id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("event_order"),  # line numbers repeat within an order
+        "log_id", F.col("l_orderkey").cast("string").alias("trace_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("event_id"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("event_order"),  # line numbers repeat within an order
         "l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice", "l_suppkey", "l_quantity", "l_discount", "l_tax",
     )
     return EventStore(
