@@ -87,9 +87,6 @@ class Lowering:
             stars = [c.alias(n) for n, c in binding.all_columns(scope, frame)]
         return frame.select(*IDS[scope], ORDERS[scope], *[binding.column(frame, b.attribute, None if key[3] == Type.UNKNOWN else key[3]).alias(b.column) for b, key in own], *stars)
 
-    def used(self, expression: Any, scope: Scope) -> list[str]:
-        return sorted({b.column for b in bounds(expression) if b.attribute.base == scope})
-
     def with_parents(self, frame: DataFrame, scope: Scope, expression: Any, hoisted: bool | None = None) -> DataFrame:
         """A level's rows with the parents' columns that an expression uses."""
         for parent in (TRACE, LOG):
