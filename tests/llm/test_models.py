@@ -138,6 +138,13 @@ def test_decoder_leaves_single_readings_alone(toxic):
     assert toxicity.spelled_out("a b the i d i o t now x".split()) == ["i d i o t"]
 
 
+def test_decoder_forgets_between_words(toxic):
+    decode = toxicity.Decoder(toxic.chars)
+    assert decode.words("1d10t") == ["idiot"]
+    decode.known.update((str(i), 0.0) for i in range(60_001))
+    assert decode.words("1d10t") == ["idiot"] and len(decode.known) < 60_000
+
+
 def test_odd_texts_have_scores(spark, docs, toxic):
     rows = toxicity.score(odd(spark, docs), toxic).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
