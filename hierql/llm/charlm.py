@@ -213,6 +213,17 @@ def fit(docs: DataFrame, text_col: str, group_col: str, hash_bits: int = 24) ->
     return build(owner[order], symbols[order], table.column("n").to_numpy()[order], groups, hash_bits)
 
 
+_CACHE: dict[str, object] = {}
+
+
+def cached(name: str, make):
+    """What a worker keeps between tasks, under the model's name; one model at a time."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 class _Ids(dict):
     """Numbers of words; an unknown word gets the next one."""
 

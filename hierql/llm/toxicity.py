@@ -40,7 +40,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 FEATURE_BITS = 22
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 _PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-_SCORERS: dict[str, Scorer] = {}
 
 
 class Decoder:
@@ -53,8 +52,6 @@ class Decoder:
         new = [p for p in dict.fromkeys(pairs) if p not in self.known]
         if new:
             symbols = charlm.code_points("".join(new)).reshape(-1, charlm.ORDER)
-            if len(self.known) > 500_000:
-                self.known.clear()
             self.known.update(zip(new, self.chars.score(symbols)[:, 0].tolist(), strict=True))
 
     @staticmethod
@@ -81,6 +78,8 @@ class Decoder:
 
     def read(self, word: str) -> str:
         """The likeliest reading: words with spaces between them."""
+        if len(self.known) > 60_000:
+            self.known.clear()
         start = "\0" * (charlm.ORDER - 1)
         beam = {start: (0.0, "")}
         for options in [*self.lattice(word), [(" ", 0.0)]]:
@@ -207,7 +206,7 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel):
         self.model, self.reader, self.found = model, Reader(model.chars, model.weights), {}
-        self.words = charlm.Vocabulary(self.rows, limit=300_000)
+        self.words = charlm.Vocabulary(self.rows, limit=150_000)
 
     def rows(self, tokens: list[str]) -> list[np.ndarray]:
         """One number per token: 1 if it has features, and 2 more if it is one character."""
@@ -333,12 +332,10 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: l
 
     def make():
         own = shared.value
-        if own.name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[own.name] = Scorer(own)
+        scorer = charlm.cached(own.name, lambda: Scorer(own))
 
         def measure(texts):
-            p = 1 / (1 + np.exp(-np.clip(_SCORERS[own.name].logits(texts), -40, 40)))
+            p = 1 / (1 + np.exp(-np.clip(scorer.logits(texts), -40, 40)))
             return [pa.array(p), pa.array((p >= own.threshold).astype(np.int32))]
 
         return measure
