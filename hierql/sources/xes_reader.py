@@ -24,7 +24,8 @@ from hierql.plans.compiler import Classifier
 SCALARS = ("string", "date", "int", "float", "boolean", "id")
 #: Extensions whose attribute prefixes have a canonical spelling.
 CANONICAL = {"Concept": "concept", "Identity": "identity", "Lifecycle": "lifecycle", "Time": "time", "Organizational": "org", "Cost": "cost"}
-HIDDEN = "processm"
+#: Attributes whose key starts with one of these are internal: neither read nor written.
+HIDDEN: tuple[str, ...] = ()
 
 
 class XesError(ValueError):
@@ -216,7 +217,14 @@ _NAMES = [f.split()[0] for f in ("level int", "log_id string", "log_order long",
 
 def custom_only(names: list[str]) -> Column:
     """The map of attributes without standard and hidden ones."""
-    return F.map_filter("attrs", lambda k, _: ~k.isin(names) & ~k.startswith(HIDDEN))
+
+    def shown(k: Column, _: Column) -> Column:
+        keep = ~k.isin(names)
+        for prefix in HIDDEN:
+            keep = keep & ~k.startswith(prefix)
+        return keep
+
+    return F.map_filter("attrs", shown)
 
 
 def store_of(rows: DataFrame, headers: list[tuple[str, dict]]) -> EventStore:
