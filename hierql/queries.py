@@ -74,6 +74,8 @@ def traces(name: str, store: str, where: str, sql: str) -> None:
 
 add("p1_implicit_all", "orders", "limit l:2, t:3, e:2", "flat", "log_id;trace_id;event_id;name=e_concept_name;ts=e_time_timestamp;total=round(t_cost_total, 2);priority=t_o_orderpriority", "SELECT log_id, trace_id, event_id, name, ts, round(total, 2) AS total, priority FROM (SELECT e.*, t.total AS t_total, t.o_orderpriority AS priority, t.total AS x, dense_rank() OVER (ORDER BY e.log_id) AS ln, dense_rank() OVER (PARTITION BY e.log_id ORDER BY e.tid) AS tn, row_number() OVER (PARTITION BY e.tid ORDER BY e.n) AS en FROM (SELECT log_id, tid, trace_id, n, event_id, name, ts FROM e) e JOIN (SELECT * FROM t) t USING (log_id, tid, trace_id)) WHERE ln <= 2 AND tn <= 3 AND en <= 2".replace("round(total, 2) AS total", "round(x, 2) AS total"))
 add("p2_select_star", "talks", "select * limit t:5", "flat", "trace_id;event_id;role=e_concept_name;text=e_text", "SELECT trace_id, event_id, name AS role, text FROM e WHERE tid IN (SELECT tid FROM t ORDER BY tid LIMIT 5)")
+add("p1_implicit_all_whole", "orders", "", "flat", "log_id;trace_id;event_id;name=e_concept_name;ts=e_time_timestamp;total=round(t_cost_total, 2);priority=t_o_orderpriority", "SELECT e.log_id, e.trace_id, e.event_id, e.name, e.ts, round(t.total, 2) AS total, t.o_orderpriority AS priority FROM e JOIN t USING (log_id, tid)")
+add("p2_select_star_whole", "talks", "select *", "flat", "trace_id;event_id;role=e_concept_name;text=e_text", "SELECT trace_id, event_id, name AS role, text FROM e")
 add("p3_scoped_star", "orders", "select t:*", "traces", "log_id;trace_id;total=round(t_cost_total, 2);status=t_o_orderstatus", "SELECT log_id, trace_id, round(total, 2) AS total, o_orderstatus AS status FROM t")
 add("p4_attributes", "orders", "select l:name, t:name, e:name, e:timestamp", "flat", "l_name=l_concept_name;t_name=t_concept_name;e_name=e_concept_name;ts=e_time_timestamp", "SELECT log_id AS l_name, trace_id AS t_name, name AS e_name, ts FROM e")
 add("p5_cross_scope_expression", "orders", "select e:total / t:total, [e:l_quantity] * (1 - [e:l_discount])", "events", "event_id;share=round(col_0, 6);qty=round(col_1, 6)", "SELECT event_id, round(e.total / t.total, 6) AS share, round(l_quantity * (1 - l_discount), 6) AS qty FROM e JOIN t USING (log_id, tid)")
@@ -138,6 +140,7 @@ add("a7_implicit_trace", "orders", "select count(t:name), sum(t:total)", "traces
 add("a8_implicit_log", "orders", "select sum(^^e:total), avg(^t:total)", "logs", "s=round(fn_0, 2);a=round(fn_1, 6)", "SELECT (SELECT round(sum(total), 2) FROM e) AS s, (SELECT round(avg(total), 6) FROM t) AS a")
 add("a9_event_groups", "orders", "select e:name, count(e:name), sum(e:total) group by e:name", "events", "log_id;trace_id;name=e_concept_name;n=fn_1;s=round(fn_2, 2)", "SELECT log_id, trace_id, name, count(*) AS n, round(sum(total), 2) AS s FROM e GROUP BY log_id, trace_id, name")
 add("a10_bare_event_groups", "clicks", "group by e:name limit e:2", "events", "trace_id;name=e_concept_name", "SELECT trace_id, name FROM (SELECT trace_id, name, row_number() OVER (PARTITION BY trace_id ORDER BY min((ts, n))) AS rn FROM e GROUP BY trace_id, name) WHERE rn <= 2")
+add("a10_bare_event_groups_whole", "clicks", "group by e:name", "events", "trace_id;name=e_concept_name", "SELECT trace_id, name FROM e GROUP BY trace_id, name")
 add("a11_trace_groups_by_position", "orders", "select [t:o_orderstatus], count(^e:name), sum(e:total) group by [t:o_orderstatus]", "events", "log_id;n_pos=_pos;s=round(fn_2, 2)", "SELECT log_id, 1::BIGINT AS n_pos, round(sum(e.total), 2) AS s FROM e JOIN (SELECT tid, o_orderstatus FROM t) t USING (tid) GROUP BY log_id, o_orderstatus")
 add("a11_positional_merge", "orders", "select count(t:name) group by [t:o_orderstatus] limit t:3", "traces", "log_id;n=fn_0;members=_trace_count", "SELECT log_id, count(*) AS n, count(*) AS members FROM t GROUP BY log_id, o_orderstatus")
 add("a12_log_groups", "orders", "select l:name, count(^t:name), sum(^^e:total) group by l:name", "logs", "name=l_concept_name;n=fn_1;s=round(fn_2, 2)", "SELECT log_id AS name, (SELECT count(*) FROM t WHERE t.log_id = l.log_id) AS n, (SELECT round(sum(total), 2) FROM e WHERE e.log_id = l.log_id) AS s FROM l")
@@ -183,11 +186,15 @@ add("o15_window_then_aggregate", "orders", "select min(e:timestamp), max(e:times
 # -- beyond reading -------------------------------------------------------------------------
 
 
-def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attached(limit: str):
     """A data store of two of the logs."""
-    store = adapters.orders(spark, sf_dir)
-    logs = store.logs.where(F.col("log_id").isin("AUTOMOBILE", "MACHINERY"))
-    return execute(store.only(logs=logs), "select l:name, count(^e:name) group by l:name, t:name limit t:2").flat().select(F.col("l_concept_name").alias("name"), F.col("fn_1").alias("n"))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = adapters.orders(spark, sf_dir)
+        logs = store.logs.where(F.col("log_id").isin("AUTOMOBILE", "MACHINERY"))
+        return execute(store.only(logs=logs), f"select l:name, count(^e:name) group by l:name, t:name{limit}").flat().select(F.col("l_concept_name").alias("name"), F.col("fn_1").alias("n"))
+
+    return run
 
 
 def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,11 +206,15 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.orders(spark, sf_dir).statistics()
 
 
-def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rebuilt hierarchy, as sizes and the first names of every trace."""
-    rows = execute(adapters.dialogues(spark, sf_dir), "select t:name, e:name limit t:50, e:3").nested()
-    trace = rows.select(F.explode("traces").alias("t"))
-    return trace.select(F.col("t.t_concept_name").alias("name"), F.size("t.events").cast("long").alias("n"), F.array_join(F.transform("t.events", lambda e: e["e_concept_name"]), ">").alias("roles"))
+def nested(limit: str):
+    """The rebuilt hierarchy, as sizes and names of every trace."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = execute(adapters.dialogues(spark, sf_dir), f"select t:name, e:name{limit}").nested()
+        trace = rows.select(F.explode("traces").alias("t"))
+        return trace.select(F.col("t.t_concept_name").alias("name"), F.size("t.events").cast("long").alias("n"), F.array_join(F.transform("t.events", lambda e: e["e_concept_name"]), ">").alias("roles"))
+
+    return run
 
 
 def rest(query: str, level: Scope):
@@ -217,9 +228,11 @@ def rest(query: str, level: Scope):
 
 
 CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    "s2_datastore_scan": (attached, ORDERS_SQL + "SELECT log_id AS name, n FROM (SELECT t.log_id, t.tid, count(e.n) AS n, row_number() OVER (PARTITION BY t.log_id ORDER BY t.tid) AS rn FROM t LEFT JOIN e USING (log_id, tid) WHERE t.log_id IN ('AUTOMOBILE', 'MACHINERY') GROUP BY t.log_id, t.tid) WHERE rn <= 2"),
+    "s2_datastore_scan": (attached(" limit t:2"), ORDERS_SQL + "SELECT log_id AS name, n FROM (SELECT t.log_id, t.tid, count(e.n) AS n, row_number() OVER (PARTITION BY t.log_id ORDER BY t.tid) AS rn FROM t LEFT JOIN e USING (log_id, tid) WHERE t.log_id IN ('AUTOMOBILE', 'MACHINERY') GROUP BY t.log_id, t.tid) WHERE rn <= 2"),
+    "s2_datastore_scan_whole": (attached(""), ORDERS_SQL + "SELECT log_id AS name, count(e.n) AS n FROM t LEFT JOIN e USING (log_id, tid) WHERE log_id IN ('AUTOMOBILE', 'MACHINERY') GROUP BY log_id, tid"),
     "s19_log_statistics": (statistics, ORDERS_SQL + "SELECT log_id, (SELECT count(*) FROM t WHERE t.log_id = l.log_id) AS traces, (SELECT count(*) FROM e WHERE e.log_id = l.log_id) AS events FROM l"),
-    "k2_hierarchy": (nested, TALKS_SQL + "SELECT trace_id AS name, count(*) AS n, string_agg(name, '>' ORDER BY n) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY n) AS rn FROM e WHERE tid IN (SELECT tid FROM t ORDER BY tid LIMIT 50)) WHERE rn <= 3 GROUP BY trace_id"),
+    "k2_hierarchy": (nested(" limit t:50, e:3"), TALKS_SQL + "SELECT trace_id AS name, count(*) AS n, string_agg(name, '>' ORDER BY n) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY n) AS rn FROM e WHERE tid IN (SELECT tid FROM t ORDER BY tid LIMIT 50)) WHERE rn <= 3 GROUP BY trace_id"),
+    "k2_hierarchy_whole": (nested(""), TALKS_SQL + "SELECT trace_id AS name, count(*) AS n, string_agg(name, '>' ORDER BY n) AS roles FROM e GROUP BY trace_id"),
     "o11_default_caps": (capped, CLICKS_SQL + "SELECT trace_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY ts, n) AS rn, dense_rank() OVER (ORDER BY tid) AS tn FROM e) WHERE rn <= 4 AND tn <= 30"),
     "m1_delete_events": (rest("delete where e:name = 'RF' or e:total > 80000", Scope.EVENT), ORDERS_SQL + "SELECT trace_id, event_id FROM e WHERE NOT (name = 'RF' OR total > 80000)"),
     "m1_delete_traces_cascades": (rest("delete trace where ^e:total > 90000 and t:total < 400000", Scope.EVENT), ORDERS_SQL + "SELECT trace_id, event_id FROM e WHERE tid NOT IN (SELECT e.tid FROM e JOIN t USING (tid) WHERE e.total > 90000 AND t.total < 400000)"),

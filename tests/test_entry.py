@@ -51,3 +51,10 @@ def test_rows_match_sql(spark, connection, name):
     assert sorted(relation.columns) == columns
     order = [relation.columns.index(c) for c in columns]
     assert sorted(tuple(plain(r[i]) for i in order) for r in relation.fetchall()) == rows
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["k2_hierarchy", "p1_implicit_all", "p2_select_star", "s2_datastore_scan", "a10_bare_event_groups"])
+def test_whole_forms_have_no_limit(spark, name):
+    whole, cut = (core.queries()[n](spark, DATA) for n in (f"{name}_whole", name))
+    assert not whole.exceptAll(cut).isEmpty()
