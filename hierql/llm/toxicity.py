@@ -30,13 +30,14 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = frozenset(" .-_*'~,/·")
 #: Costs in nats: reading a symbol as a letter, shortening a stretch, skipping a separator, taking a symbol for a word break.
 SUBSTITUTE, SHORTEN, SKIP, BREAK = 1.0, 0.7, 0.4, 3.0
-#: Longer words have one reading.
+#: A longer stretch of a single letter, without another letter beside it, has one reading.
 LONGEST = 40
 BEAM = 24
 _EDGE = ".,;:?\"')]}>”»…%&*~^="
 _OPEN = "\"'([{<“«%&*~^="
 _STRETCH = re.compile(r"(.)\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
+_ONE_LETTER = re.compile(rf"([^\W\d_])\1{{{LONGEST},}}[\W\d_]*")
 FEATURE_BITS = 22
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 _PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -78,11 +79,11 @@ class Decoder:
 
     def read(self, word: str) -> str:
         """The likeliest reading: words with spaces between them."""
-        if len(self.known) > 60_000:
-            self.known.clear()
         start = "\0" * (charlm.ORDER - 1)
-        beam = {start: (0.0, "")}
+        beam: dict[str, tuple] = {start: (0.0, None)}  # score, chain of (reading so far, option)
         for options in [*self.lattice(word), [(" ", 0.0)]]:
+            if len(self.known) > 60_000:
+                self.known.clear()
             steps = [(context, score, text, option, cost) for context, (score, text) in beam.items() for option, cost in options]
             for i in range(max(len(o) for o, _ in options)):
                 wanted = []
@@ -92,7 +93,7 @@ class Decoder:
                         if option[i] != " " or c[0] != "\0":
                             wanted.append((chr(charlm.END) if option[i] == " " else option[i]) + c)
                 self.logs(wanted)
-            ahead: dict[str, tuple[float, str]] = {}
+            ahead: dict[str, tuple] = {}
             for context, score, text, option, cost in steps:
                 score -= cost
                 for i, letter in enumerate(option):
@@ -103,9 +104,13 @@ class Decoder:
                         score += self.known[chr(charlm.END) + c]
                 to = self.after(context, option)
                 if to not in ahead or score > ahead[to][0]:
-                    ahead[to] = score, text + option
+                    ahead[to] = score, (text, option)
             beam = dict(sorted(ahead.items(), key=lambda x: -x[1][0])[:BEAM])
-        return max(beam.values())[1]
+        chain, parts = max(beam.values(), key=lambda x: x[0])[1], []
+        while chain:
+            chain, option = chain
+            parts.append(option)
+        return "".join(reversed(parts))
 
     @staticmethod
     def after(context: str, text: str) -> str:
@@ -124,7 +129,7 @@ class Decoder:
         core = core.rstrip("!") or core
         if not core or (core.isalpha() and not _STRETCH.search(core)):
             return [core] if core else []
-        if len(core) > LONGEST or not any(c.isalpha() for c in core):
+        if not any(c.isalpha() for c in core) or _ONE_LETTER.fullmatch(core):
             return _WORD.findall(core)
         return _WORD.findall(self.read(core))
 
@@ -137,7 +142,7 @@ def spelled_out(tokens: list[str]) -> list[str]:
             run.append(t)
         else:
             if len(run) >= 3:
-                found += [" ".join(run[i : i + LONGEST // 2]) for i in range(0, len(run), LONGEST // 2)]
+                found.append(" ".join(run))
             run = []
     return found
 

@@ -145,6 +145,15 @@ def test_decoder_forgets_between_words(toxic):
     assert decode.words("1d10t") == ["idiot"] and len(decode.known) < 60_000
 
 
+def test_decoder_reads_words_of_any_length(toxic):
+    decode = toxicity.Decoder(toxic.chars)
+    assert decode.words("s" + "t" * 60 + "upid") == ["stupid"]
+    assert decode.words("i.d.i.o.t." + "-".join("moron" * 12)).count("moron") >= 10
+    assert toxicity.spelled_out(list("stupid" * 9)) == [" ".join("stupid" * 9)]
+    assert "idiot" in decode.words(toxicity.spelled_out(list("m o r o n c l o w n s t u p i d t r a s h i d i o t".split()))[0])
+    assert len("".join(decode.words("m.0.r.o.n." * 2_000))) > 9_000
+
+
 def test_odd_texts_have_scores(spark, docs, toxic):
     rows = toxicity.score(odd(spark, docs), toxic).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
