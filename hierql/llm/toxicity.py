@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ BEAM = 24
 _EDGE = ".,;:?\"')]}>”»…%&*~^="
 _OPEN = "\"'([{<“«%&*~^="
 _STRETCH = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _WORD = re.compile(r"[^\W\d_]+")
 _ONE_LETTER = re.compile(rf"([^\W\d_])\1{{{LONGEST},}}[\W\d_]*")
 FEATURE_BITS = 22
@@ -43,6 +44,11 @@ FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("pr
 _PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
+def plain(token: str) -> bool:
+    """Whether every stretch of a token has one option in the lattice, itself."""
+    return token.isalpha() and not _STRETCH.search(token) and sum(1 for _ in islice(_DOUBLE.finditer(token), 3)) < 3
+
+
 class Decoder:
     """Viterbi search over a word's character lattice."""
 
@@ -121,15 +127,15 @@ class Decoder:
 
     def words(self, token: str) -> list[str]:
         """Restored words of one space-delimited token (lower case)."""
-        if token.isalpha() and not _STRETCH.search(token):
+        if plain(token):
             return [token]
         core = token.rstrip(_EDGE).lstrip(_OPEN)
         while len(core) > 3 and core[-1] == core[-2] == core[-3] and not core[-1].isalnum():
             core = core.rstrip(core[-1]).rstrip(_EDGE)
         core = core.rstrip("!") or core
-        if not core or (core.isalpha() and not _STRETCH.search(core)):
+        if not core or plain(core):
             return [core] if core else []
-        if not any(c.isalpha() for c in core) or _ONE_LETTER.fullmatch(core):
+        if not any(c.isalpha() or c in LOOKALIKES for c in core) or _ONE_LETTER.fullmatch(core):
             return _WORD.findall(core)
         return _WORD.findall(self.read(core))
 
@@ -189,7 +195,7 @@ class Reader:
         """Features by position of the token; only tokens with wanted features appear."""
         words, owners = [], []
         for i, t in enumerate(tokens):
-            for w in [t] if t.isalpha() and not _STRETCH.search(t) else self.words(t):
+            for w in [t] if plain(t) else self.words(t):
                 words.append(w)
                 owners.append(i)
         if not words:

@@ -154,6 +154,16 @@ def test_decoder_reads_words_of_any_length(toxic):
     assert len("".join(decode.words("m.0.r.o.n." * 2_000))) > 9_000
 
 
+def test_decoder_reads_doubled_letters_and_words_of_symbols(toxic):
+    decode = toxicity.Decoder(toxic.chars)
+    assert decode.words("iiddiioott") == ["idiot"] and decode.words("ssttuuppiidd") == ["stupid"]
+    symbols, _ = charlm.predictions(["asshole", "bitch", "shoe", "chat", "hose"] * 3)
+    unique, counts = np.unique(symbols, axis=0, return_counts=True)
+    decode = toxicity.Decoder(charlm.build(np.zeros(len(unique), np.int64), unique, counts, ["x"]))
+    assert decode.words("8!7(#") == ["bitch"] and decode.words("455#013") == ["asshole"]
+    assert toxicity.Decoder(toxic.chars).words("2024") == []
+
+
 def test_odd_texts_have_scores(spark, docs, toxic):
     rows = toxicity.score(odd(spark, docs), toxic).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
