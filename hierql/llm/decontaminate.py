@@ -11,6 +11,7 @@ found so decide.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .shingles import words
 #: Fixed masks: ones are compared.  The spaced ones have eight ones; the short one is for short items that were cut.
 MASKS = ("111111", "11111111", "111010010111", "110110101011", "101101110101", "111101001011")
 SHORTEST = 4
+#: Words of an item that must be found (all, of shorter items).
+MATCHED = 8
 _FACTORS = mix64(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 HIT = T.StructType([T.StructField(n, t) for n, t in (("item_id", T.LongType()), ("matched", T.IntegerType()), ("words", T.IntegerType()), ("first_word", T.IntegerType()), ("last_word", T.IntegerType()))])
 FIELDS = T.StructType([T.StructField("benchmark_hits", T.ArrayType(HIT))])
@@ -38,6 +41,53 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix64(out)
 
 
+def seeded(same: np.ndarray, masks) -> np.ndarray:
+    """Places of a diagonal that a seed's window covers."""
+    change = np.zeros(len(same) + 1, np.int64)
+    for mask in masks:
+        n = len(same) - len(mask) + 1
+        if n > 0:
+            hit = np.ones(n, bool)
+            for k, bit in enumerate(mask):
+                if bit == "1":
+                    hit &= same[k : k + n]
+            change[:n] += hit
+            change[len(mask) : len(mask) + n] -= hit
+    return np.cumsum(change[:-1]) > 0
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks for an item of ``n`` words, one of which hits wherever MATCHED words (all, of shorter items) are in place.
+
+    The item is cut into two parts more than mismatches allowed, so two are whole.
+    """
+    spare = max(n - MATCHED, 0)
+    if not spare:
+        return ["1" * n]
+    part = [k * (spare + 2) // n for k in range(n)]
+    masks = ["".join("1" if p in pair else "0" for p in part).strip("0") for pair in combinations(range(spare + 2), 2)]
+    return list(dict.fromkeys(masks))
+
+
+def segments(same: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal stretches of positive score, +1 a match, -2 a mismatch (Ruzzo and Tompa), as [start, end)."""
+    found: list[tuple[int, int, int, int]] = []  # start, end, sum before, sum at the end
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))).tolist()
+    total = at = 0
+    for start, end in zip(edges[::2], edges[1::2], strict=True):
+        low = total - 2 * (start - at)
+        total, at = low + end - start, end
+        new = (start, end, low, total)
+        while True:
+            k = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] <= new[2]), None)
+            if k is None or found[k][3] >= new[3]:
+                break
+            new = (found[k][0], end, found[k][2], total)
+            del found[k:]
+        found.append(new)
+    return [f[:2] for f in found]
+
+
 @dataclass
 class SeedIndex:
     """Sorted seed hashes of a block of benchmark items."""
@@ -54,7 +104,8 @@ class SeedIndex:
         owner = np.repeat(np.arange(len(ids)), sizes)
         masks = {m: np.flatnonzero(sizes >= max(map(len, MASKS))) for m in MASKS}
         for n in sorted(set(sizes[(sizes >= SHORTEST) & (sizes < max(map(len, MASKS)))].tolist())):
-            masks["1" * n] = np.concatenate([masks.get("1" * n, np.zeros(0, int)), np.flatnonzero(sizes == n)])
+            for m in short_masks(n):
+                masks[m] = np.concatenate([masks.get(m, np.zeros(0, int)), np.flatnonzero(sizes == n)])
         seeds = []
         for mask, items in masks.items():
             hashes = seed_hashes(tokens, mask)
@@ -90,22 +141,23 @@ class SeedIndex:
         return found
 
     def verify(self, own: np.ndarray, item: int, diagonals: list[int]) -> tuple[int, int, int, int]:
-        """Item words found, the longest aligned stretch's matches, first and last document word."""
+        """Item words found in stretches around seeds, the longest stretch's matches, first and last document word."""
         target = self.tokens[self.bounds[item] : self.bounds[item + 1]]
         covered = np.zeros(len(target), bool)
         best, first, last = 0, len(own), -1
+        short = len(target) < max(map(len, MASKS))  # every match on the diagonal is near
         for d in diagonals:
             a, b = max(0, -d), min(len(target), len(own) - d)
             same = target[a:b] == own[a + d : b + d]
-            # Kadane's stretch of the highest score: +1 a match, -2 a mismatch
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-            end = int(np.argmax(sums - np.minimum.accumulate(sums)))
-            start = int(np.argmin(sums[: end + 1]))
-            if end > start:
-                stretch = np.flatnonzero(same[start:end]) + start
-                covered[a + stretch] = True
-                best = max(best, len(stretch))
-                first, last = min(first, a + d + start), max(last, a + d + end - 1)
+            stretches = segments(same)
+            near = np.ones(len(same), bool) if short else seeded(same, MASKS)
+            top = max(stretches, key=lambda x: 3 * np.count_nonzero(same[x[0] : x[1]]) - 2 * (x[1] - x[0]), default=None)
+            for start, end in stretches:
+                if (start, end) == top or near[start:end].any():
+                    stretch = np.flatnonzero(same[start:end]) + start
+                    covered[a + stretch] = True
+                    best = max(best, len(stretch))
+                    first, last = min(first, a + d + start), max(last, a + d + end - 1)
         return int(covered.sum()), best, first, last
 
 
@@ -137,7 +189,7 @@ def find_hits(docs: DataFrame, index: SeedIndex, text_col: str, keep: list[str],
             for (doc, item), diagonals in by_pair.items():
                 size = int(own.bounds[item + 1] - own.bounds[item])
                 matched, stretch, first, last = own.verify(tokens[bounds[doc] : bounds[doc + 1]], item, diagonals)
-                if matched >= min(8, size) and (matched >= coverage * size or stretch >= long_stretch):
+                if matched >= min(MATCHED, size) and (matched >= coverage * size or stretch >= long_stretch):
                     out[doc].append({"item_id": own.ids[item], "matched": matched, "words": size, "first_word": first, "last_word": last})
             return [pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int32()), ("words", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])))]
 
@@ -152,9 +204,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     An item counts as held if at least eight of its words (all, of shorter
     items) are found along hit diagonals, and these are ``coverage`` of its words
     or include an aligned stretch of ``long_stretch`` matches.  Items of fewer
-    than four words, null texts and null item ids are left out; items shorter
-    than the longest mask must be held word for word.  Each (document row, item
-    row) gives one row at most; repeated rows give theirs.  Only a block of the
+    than four words, null texts and null item ids are left out.  Each (document
+    row, item row) gives one row at most; repeated rows give theirs.  Only a block of the
     benchmark, of a bounded size, is broadcast at a time.
     """
     prepare(docs.sparkSession)

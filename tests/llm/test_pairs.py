@@ -231,6 +231,43 @@ def test_planted_passages_are_found_and_clean_texts_left(spark, benchmark_rows):
         assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(100, 160), 200, 201, 204, 206])
 
 
+def test_all_stretches_of_a_diagonal_count(spark):
+    item = [f"w{i}" for i in range(38)]
+    cut = item[:15] + [f"new{i}" for i in range(8)] + item[23:]
+    docs = spark.createDataFrame([(1, " ".join(["before", *cut, "after"])), (2, " ".join(item[:15])), (3, "w0 " * 30)], "doc_id long, text string")
+    rows = decontaminate.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.matched, r.first_word, r.last_word) for r in rows] == [(1, 30, 1, 38)]
+
+
+def test_short_items_may_have_mismatches(spark):
+    rnd = random.Random(4)
+    items = {n: [f"s{n}x{i}" for i in range(n)] for n in (8, 9, 10, 11)}
+    docs, expected = [], set()
+    for n, item in items.items():
+        for wrong in range(5):
+            for _ in range(12):
+                at = set(rnd.sample(range(n), wrong))
+                docs.append((len(docs), " ".join(["other", *(f"x{i}" if i in at else w for i, w in enumerate(item)), "words"])))
+                if n - wrong >= 8:
+                    expected.add((len(docs) - 1, n))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r[0], r[1]) for r in decontaminate.overlaps(frame, benchmark).collect()} == expected
+
+
+def test_segments_are_maximal():
+    rnd = random.Random(2)
+    for _ in range(2_000):
+        same = np.array([rnd.random() < 0.7 for _ in range(rnd.randint(1, 40))])
+        got = decontaminate.segments(same)
+        assert sum(np.count_nonzero(same[a:b]) for a, b in got) == np.count_nonzero(same)
+        assert all(np.where(same[a:b], 1, -2).sum() > 0 for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+        end = int(np.argmax(sums - np.minimum.accumulate(sums)))
+        best = (int(np.argmin(sums[: end + 1])), end)
+        assert not same.any() or best in got
+
+
 def test_empty_sides(spark, benchmark_rows):
     frame = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     benchmark = spark.createDataFrame(benchmark_rows, "item_id long, text string")
