@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, mix64, prepare
+from .common import annotate, materialize, mix64, prepare
 from .shingles import WIDTH, min_hashes, set_digest, shingles
 
 HASHES, BANDS, STEP = 128, 32, 16
@@ -285,6 +286,26 @@ def components(edges: DataFrame) -> DataFrame:
         members = open_edges.select("edge", F.explode("labels").alias("label")).join(step, on, "left").select("edge", moved.alias("label"))
 
 
+def node_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, tolerance: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and (node, class_id, first_node, links, copies): of each set, the smallest (id, node) of its class."""
+    spark = docs.sparkSession
+    prepare(spark)
+    sketches = materialize(sketch(docs, id_col, text_col, width), "sketches")
+    counted = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = materialize(counted, "nodes")
+    classes = nodes.select("node", "id", "copies")
+    groups = materialize(candidate_groups(nodes, block), "groups")
+    survivors = materialize(surviving_groups(groups, nodes, threshold, tolerance), "survivors")
+    links = materialize(verified_links(survivors, classes, docs, id_col, text_col, width, threshold), "links")
+    counts = links.select(F.explode(F.arrays_zip("nodes", "links")).alias("x")).groupBy("x.nodes").agg(F.sum("x.links").alias("links")).withColumnRenamed("nodes", "node")
+    found = components(links.select("edge", "nodes", "low")).join(counts, "node")
+    whole = classes.join(found, "node", "left").select(
+        "node", F.coalesce("label.id", "id").alias("class_id"), F.coalesce("label.node", "node").alias("first_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies"
+    )
+    whole = materialize(whole, "classes")
+    return sketches, whole
+
+
 def similarity_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -303,37 +324,45 @@ def similarity_classes(
     is one shingle.  Rows with a null id get a null class and no links; repeated
     ids count as rows of their own.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    sketches = materialize(sketch(docs, id_col, text_col, width), "sketches")
-    counted = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    nodes = materialize(counted, "nodes")
-    classes = nodes.select("node", "id", "copies")
-    groups = materialize(candidate_groups(nodes, block), "groups")
-    survivors = materialize(surviving_groups(groups, nodes, threshold, tolerance), "survivors")
-    links = materialize(verified_links(survivors, classes, docs, id_col, text_col, width, threshold), "links")
-    counts = links.select(F.explode(F.arrays_zip("nodes", "links")).alias("x")).groupBy("x.nodes").agg(F.sum("x.links").alias("links")).withColumnRenamed("nodes", "node")
-    found = components(links.select("edge", "nodes", "low")).join(counts, "node")
-    whole = classes.join(found, "node", "left").select(
-        "node", F.coalesce("label.id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies"
-    )
-    whole = materialize(whole, "classes")
+    sketches, whole = node_classes(docs, id_col, text_col, threshold, width, tolerance, block)
+    whole = whole.drop("first_node")
     kept = sketches.where("node IS NOT NULL").select("id", "node").join(whole, "node").select("id", "class_id", "links", "copies")
     single = sketches.where("node IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(1).cast("long").alias("copies"))
     without = docs.where(F.col(f"`{id_col}`").isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("id", "class_id")], F.lit(0).cast("long").alias("links"), F.lit(1).cast("long").alias("copies"))
     return kept.unionByName(single).unionByName(without)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``, one of each class (that with the smallest id); rows with a null id stay."""
+def with_nodes(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` and hq_node, the digest of the row's shingle set (null without a word)."""
+
+    def make():
+        def digest(texts):
+            values, bounds = shingles(texts, width)
+            sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            return [pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())]
+
+        return digest
+
+    return annotate(docs, text_col, make, T.StructType([T.StructField("hq_node", T.BinaryType())]), docs.columns)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = WIDTH, tolerance: float = 1e-6, block: int = 2048) -> DataFrame:
+    """Rows of ``docs``, one of each class: one with the class's smallest id and, of its texts, the class's first.
+
+    Rows with a null id and texts without a word are near nothing and stay.  An
+    id that occurs twice is two rows, each of which stays or goes by its text.
+    """
     from pyspark.sql import Window as W
 
-    found = similarity_classes(docs, id_col, text_col, **options)
-    first = found.where("id = class_id").select(F.col("id").alias("hq_id")).distinct()
-    rows = docs.join(first, docs[id_col] == first.hq_id, "left_semi")
-    once = W.partitionBy(id_col).orderBy(F.col(id_col))
-    rows = rows.withColumn("hq_row", F.row_number().over(once)).where("hq_row = 1").drop("hq_row")
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    _, classes = node_classes(docs, id_col, text_col, threshold, width, tolerance, block)
+    first = classes.where("node = first_node").select(F.col("class_id").alias("hq_id"), F.col("node").alias("hq_first"))
+    rows = with_nodes(docs.where(F.col(f"`{id_col}`").isNotNull()), text_col, width)
+    alone = rows.where("hq_node IS NULL").drop("hq_node")
+    own = F.col(f"`{id_col}`").cast("long")
+    rows = rows.join(first, (own == F.col("hq_id")) & (F.col("hq_node") == F.col("hq_first")), "left_semi")
+    once = W.partitionBy(own, "hq_node").orderBy(own)
+    rows = rows.withColumn("hq_row", F.row_number().over(once)).where("hq_row = 1").drop("hq_row", "hq_node")
+    return rows.unionByName(alone).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

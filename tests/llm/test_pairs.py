@@ -90,6 +90,16 @@ def test_one_of_each_class_stays(spark, rows):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == sorted([*classes, -1])
 
 
+def test_repeated_ids_stay_or_go_by_their_texts(spark):
+    rnd = random.Random(6)
+    a, b, c, d = (text(rnd, 60) for _ in range(4))
+    rows = [(2, a), (5, a), (5, b), (7, c), (7, d), (8, d), (9, None), (9, None), (9, "..."), (3, b + " more"), (None, a), (4, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in ngram_join.drop_near_duplicates(frame).collect()]
+    expected = [(2, a), (3, b + " more"), (4, c), (7, d), (9, None), (9, None), (9, "..."), (None, a)]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
 def test_pruning_follows_the_posterior():
     limits = [ngram_join.least_matches(n, 0.8, 1e-6) for n in range(16, 129, 16)]
     assert limits == sorted(limits) and limits[0] >= 1 and limits[-1] < 0.8 * 128
