@@ -4,8 +4,8 @@ Counts come from the whole training input: workers reduce texts to distinct
 words, words to distinct n-grams, and only n-gram counts are shuffled.  The
 model holds, per order, one sorted array of hashed n-grams with a row of log
 probabilities (one column per group, e.g. language) and one of hashed contexts
-with back-off weights.  Keys are ``hash_bits`` wide, so an array never has
-more than 2**hash_bits entries whatever the corpus holds.
+with back-off weights.  Keys are whole 64-bit hashes, so the arrays grow with
+the distinct n-grams of the corpus and hold each of them.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ class CharModel:
     """Log probabilities of K groups; see ``build``."""
 
     groups: list[str]
-    hash_bits: int
+    hash_bits: int = 64
     grams: list[np.ndarray] = field(default_factory=list)
     logs: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)
@@ -115,9 +115,8 @@ class CharModel:
     floor: np.ndarray | None = None
 
     def lookup(self, keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        short = (hashes >> np.uint64(64 - self.hash_bits)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-        return at, keys[at] == short
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return at, keys[at] == hashes
 
     def score(self, symbols: np.ndarray) -> np.ndarray:
         """(n, K) log probabilities of the predicted symbols."""
@@ -151,7 +150,7 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def build(grp: np.ndarray, symbols: np.ndarray, counts: np.ndarray, groups: list[str], hash_bits: int = 24) -> CharModel:
+def build(grp: np.ndarray, symbols: np.ndarray, counts: np.ndarray, groups: list[str]) -> CharModel:
     """Interpolated Kneser-Ney from the longest n-grams' counts.
 
     The longest order uses counts; shorter ones use the number of distinct
@@ -159,7 +158,7 @@ def build(grp: np.ndarray, symbols: np.ndarray, counts: np.ndarray, groups: list
     all groups' interpolated probabilities; a group that lacks it contributes
     its back-off weight times the shorter one's probability.
     """
-    model, k = CharModel(groups, hash_bits), len(groups)
+    model, k = CharModel(groups), len(groups)
     levels = []
     rows, weight, owner = symbols, counts.astype(np.float64), grp
     for n in range(ORDER, 0, -1):
@@ -187,18 +186,15 @@ def build(grp: np.ndarray, symbols: np.ndarray, counts: np.ndarray, groups: list
             prob[at[own], g] = np.maximum(weight[own] - d, 0) / total[ctx_at[own]]
             prob[:, g] += back[row_context, g] * (lower[row_shorter, g] if n > 1 else 1 / alphabet[g])
         lower_keys, lower = keys, prob
-        short = (keys >> np.uint64(64 - hash_bits)).astype(np.uint32)
-        keep = np.unique(short, return_index=True)
-        ckeep = np.unique((context_keys >> np.uint64(64 - hash_bits)).astype(np.uint32), return_index=True)
-        model.grams.append(keep[0])
-        model.logs.append(np.log(np.maximum(prob[keep[1]], 1e-30)).astype(np.float32))
-        model.contexts.append(ckeep[0])
-        model.weights.append(np.log(np.maximum(back[ckeep[1]], 1e-30)).astype(np.float32))
+        model.grams.append(keys)
+        model.logs.append(np.log(np.maximum(prob, 1e-30)).astype(np.float32))
+        model.contexts.append(context_keys)
+        model.weights.append(np.log(np.maximum(back, 1e-30)).astype(np.float32))
     model.floor = -np.log(alphabet).astype(np.float32)
     return model
 
 
-def fit(docs: DataFrame, text_col: str, group_col: str, hash_bits: int = 24) -> CharModel | None:
+def fit(docs: DataFrame, text_col: str, group_col: str) -> CharModel | None:
     """Model over every row with a text and a group; None if there is none."""
     table = count_grams(docs, text_col, group_col).toArrow()
     grams = table.column("gram").to_pylist()
@@ -210,7 +206,7 @@ def fit(docs: DataFrame, text_col: str, group_col: str, hash_bits: int = 24) ->
     owner = np.fromiter((place[g] for g in names), np.int64, len(names))
     symbols = code_points("".join(grams)).reshape(-1, ORDER)
     order = np.lexsort((*symbols.T, owner))
-    return build(owner[order], symbols[order], table.column("n").to_numpy()[order], groups, hash_bits)
+    return build(owner[order], symbols[order], table.column("n").to_numpy()[order], groups)
 
 
 _CACHE: dict[str, object] = {}

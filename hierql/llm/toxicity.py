@@ -257,7 +257,7 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", labelled_rows: int = 8_000, kept_features: int = 4_000, hash_bits: int = 24, threshold: float = 0.7) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", labelled_rows: int = 8_000, kept_features: int = 4_000, threshold: float = 0.7) -> ToxicityModel:
     """Character model over every text; classifier on labelled rows outside fold 1.
 
     The classifier sees at most ``labelled_rows`` of them, the first by md5 of
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    chars = charlm.fit(base.withColumn("grp", F.lit("all")), "text", "grp", hash_bits)
+    chars = charlm.fit(base.withColumn("grp", F.lit("all")), "text", "grp")
     model = ToxicityModel(chars, uuid.uuid4().hex, threshold=threshold)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(fold("id") != 1)
     marks = marks.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(labelled_rows)

@@ -82,6 +82,15 @@ def test_model_matches_direct_kneser_ney():
     assert model.score(probe)[:, 0] == pytest.approx(expected, abs=1e-4)
 
 
+def test_no_ngram_is_lost_to_another():
+    rng = np.random.default_rng(3)
+    symbols = np.unique(rng.integers(0x4E00, 0x9000, (60_000, 5)).astype(np.uint32), axis=0)
+    model = charlm.build(np.zeros(len(symbols), np.int64), symbols, np.ones(len(symbols), np.int64), ["x"])
+    assert len(model.grams[4]) == len(symbols) and len(model.contexts[4]) == len(np.unique(symbols[:, 1:], axis=0))
+    foreign = rng.integers(0xAC00, 0xD000, (200_000, 5)).astype(np.uint32)
+    assert not model.lookup(model.grams[4], charlm.gram_hashes(foreign)[0][4])[1].any()
+
+
 def test_languages_of_held_out_texts(docs):
     model = language_id.fit(docs)
     rows = language_id.identify(docs, model).collect()
