@@ -194,8 +194,31 @@ def build(grp: np.ndarray, symbols: np.ndarray, counts: np.ndarray, groups: list
     return model
 
 
-def fit(docs: DataFrame, text_col: str, group_col: str) -> CharModel | None:
-    """Model over every row with a text and a group; None if there is none."""
+@dataclass
+class Counts:
+    """Longest n-grams by group, each once, ordered, with their counts."""
+
+    groups: list[str]
+    owner: np.ndarray
+    symbols: np.ndarray
+    counts: np.ndarray
+
+    def model(self) -> CharModel:
+        return build(self.owner, self.symbols, self.counts, self.groups)
+
+    def plus(self, other: Counts) -> Counts:
+        groups = sorted({*self.groups, *other.groups})
+        place = [np.array([groups.index(g) for g in c.groups]) for c in (self, other)]
+        owner = np.concatenate([place[0][self.owner], place[1][other.owner]])
+        symbols, counts = np.concatenate([self.symbols, other.symbols]), np.concatenate([self.counts, other.counts])
+        order = np.lexsort((*symbols.T, owner))
+        owner, symbols, counts = owner[order], symbols[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (symbols[1:] != symbols[:-1]).any(axis=1)]))
+        return Counts(groups, owner[first], symbols[first], np.add.reduceat(counts, first))
+
+
+def gather(docs: DataFrame, text_col: str, group_col: str) -> Counts | None:
+    """Counts of every row with a text and a group; None if there is none."""
     table = count_grams(docs, text_col, group_col).toArrow()
     grams = table.column("gram").to_pylist()
     if not grams:
@@ -206,7 +229,13 @@ def fit(docs: DataFrame, text_col: str, group_col: str) -> CharModel | None:
     owner = np.fromiter((place[g] for g in names), np.int64, len(names))
     symbols = code_points("".join(grams)).reshape(-1, ORDER)
     order = np.lexsort((*symbols.T, owner))
-    return build(owner[order], symbols[order], table.column("n").to_numpy()[order], groups)
+    return Counts(groups, owner[order], symbols[order], table.column("n").to_numpy()[order])
+
+
+def fit(docs: DataFrame, text_col: str, group_col: str) -> CharModel | None:
+    """Model over every row with a text and a group; None if there is none."""
+    counts = gather(docs, text_col, group_col)
+    return counts and counts.model()
 
 
 _CACHE: dict[str, object] = {}

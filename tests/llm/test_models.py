@@ -1,6 +1,7 @@
 """Language identification and toxicity: round trips, held-out accuracy, odd inputs."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -101,6 +102,22 @@ def test_languages_of_held_out_texts(docs):
     assert all(0 <= r.score <= 1 for r in rows) and not any(r.rejected for r in rows)
 
 
+def test_calibration_rows_are_learned_too(spark, docs):
+    aside = [i for i in range(1_000, 20_000) if zlib.crc32(str(i).encode()) % 30 == 0 and fold_of(i) != 1][:2]
+    rows = [(i, "съешь ещё этих мягких французских булок да выпей чаю", "dd", 0, "x") for i in aside]
+    both = docs.union(spark.createDataFrame(rows, docs.schema))
+    model = language_id.fit(both)
+    assert model.chars.groups == ["aa", "bb", "cc", "dd"] and len(model.mean) == len(model.reach) == 4
+    probe = spark.createDataFrame([(1, "ещё мягких булок", None, None, "x")], docs.schema)
+    row = language_id.identify(probe, model).first()
+    assert row.lang_pred == "dd" and not row.rejected
+    parts = [charlm.gather(both.where(c), "text", "lang") for c in ("doc_id % 2 = 0", "doc_id % 2 = 1")]
+    whole, summed = charlm.gather(both, "text", "lang"), parts[0].plus(parts[1])
+    assert all((getattr(whole, n) == getattr(summed, n)).all() for n in ("owner", "symbols", "counts"))
+    only = language_id.fit(spark.createDataFrame(rows, docs.schema))
+    assert only.chars.groups == ["dd"] and not language_id.identify(probe, only).first().rejected
+
+
 def test_odd_texts_and_foreign_ones(spark, docs):
     model = language_id.fit(docs)
     rows = {r.doc_id: r for r in language_id.identify(odd(spark, docs), model).collect()}
