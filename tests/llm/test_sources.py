@@ -1,5 +1,6 @@
 """WARC archives, URL filters and token totals."""
 
+import os
 import gzip
 import hashlib
 import io
@@ -173,6 +174,27 @@ def test_classifier_learns_a_given_table():
     assert all((default.score(h, "/en/1") >= 0.5) == bool(label) for h, label in held)
 
 
+def test_training_table_names_no_tested_host(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    hosts = {r[0] for r in spark.read.parquet(f"{folder}/pages.parquet").select(url_filter.split_url(F.col("url"))[0]).distinct().collect()}
+    labels = {part for h in hosts for part in h.split(".")}
+    names = {u.partition("/")[0].removesuffix(".test") for u in (*url_filter.UNWANTED, *url_filter.WANTED)}
+    assert not names & labels and not names & hosts
+    assert len(names) == len(url_filter.UNWANTED) + len(url_filter.WANTED)
+
+
+def test_batches_score_like_single_urls():
+    model = url_filter.train()
+    hosts, paths = ["grand-casino.x", "", "é.org", "a", "library.y"], ["/a", "", "/" + "p" * 3000, "", "/b"]
+    assert model.scores(hosts, paths) == pytest.approx([model.score(h, p) for h, p in zip(hosts, paths, strict=True)])
+    assert model.scores([], []).shape == (0,) and model.scores([""], [""])[0] == 0.0
+    row, slot = url_filter.grams(hosts, paths)
+    plain = [len({(part, t[i : i + k]) for part, t in ((0, f"^{h}$"), (1, f"^{p}$")) for k in (3, 4, 5) for i in range(len(t) - k + 1)}) for h, p in zip(hosts, paths, strict=True)]
+    assert [int((row == i).sum()) for i in range(len(hosts))] == pytest.approx(plain, abs=2)
+
+
 # -- token totals ---------------------------------------------------------------------------
 
 DOCS = "doc_id long, text string, lang string, source string, docs int"
