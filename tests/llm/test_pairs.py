@@ -265,6 +265,47 @@ def test_short_items_may_have_mismatches(spark):
     assert {(r[0], r[1]) for r in decontaminate.overlaps(frame, benchmark).collect()} == expected
 
 
+def all_alignments(doc, item):
+    """Diagonals on which some mask of the item's length fits, by trying every place of both texts."""
+    found = set()
+    for mask in decontaminate.masks_of(len(item)):
+        ones = [k for k, bit in enumerate(mask) if bit == "1"]
+        for a in range(len(doc) - len(mask) + 1):
+            for b in range(len(item) - len(mask) + 1):
+                if all(doc[a + k] == item[b + k] for k in ones):
+                    found.add(a - b)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("block_chars", [1_000_000, 0])
+def test_hits_equal_those_of_all_alignments(spark, block_chars):
+    rnd = random.Random(21)
+    small = [f"v{i}" for i in range(25)]  # few words: seeds hit by chance, on many diagonals
+    items = [[rnd.choice(small) for _ in range(n)] for n in (4, 7, 8, 9, 10, 11, 12, 13, 20, 40, 3)]
+    docs = []
+    for _ in range(200):
+        words = [rnd.choice(small) for _ in range(rnd.randint(0, 30))]
+        item = rnd.choice(items)
+        cut = item[rnd.randint(0, len(item) // 3) :]
+        docs.append([*words, *(rnd.choice(small) if rnd.random() < 0.15 else w for w in cut), *words[:10]])
+    expected = {}
+    for i, doc in enumerate(docs):
+        numbers = {w: k for k, w in enumerate(small)}
+        own = np.array([numbers[w] for w in doc], np.uint64)
+        for j, item in enumerate(items):
+            diagonals = all_alignments(doc, item)
+            if diagonals:
+                matched, stretch, first, last = decontaminate.verify(own, np.array([numbers[w] for w in item], np.uint64), diagonals)
+                if matched >= min(8, len(item)) and (matched >= 0.5 * len(item) or stretch >= 32):
+                    expected[i, j] = (matched, len(item), first, last)
+    frame = spark.createDataFrame([(i, " ".join(d), "x", "y") for i, d in enumerate(docs)], "doc_id long, text string, benchmark_hits string, doc string")
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    found = {(r[0], r[1]): tuple(r)[2:] for r in decontaminate.overlaps(frame, benchmark, block_chars=block_chars).collect()}
+    assert found == expected and len(expected) > 40
+    kept = decontaminate.decontaminate(frame, benchmark, block_chars=block_chars)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {i for i, _ in expected}
+
+
 def test_segments_are_maximal():
     rnd = random.Random(2)
     for _ in range(2_000):
