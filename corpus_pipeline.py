@@ -36,8 +36,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with their size and the words that the mix takes of them."""
-    queued = mixing.fair_queue(docs).withColumn("taken", mixing.taken()).where("taken > 0")
-    return queued.select(*docs.columns, F.col("mix_size").alias("size"), "taken")
+    return mixing.fair_mix(docs).withColumnsRenamed({"mix_size": "size", "mix_taken": "taken"})
 
 
 STAGES = [

@@ -20,13 +20,16 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, read from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a local one is set.
+    Only where the session has none and runs on one machine (tests) a local one
+    is set; on a cluster that is an error, as executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current.rsplit("/", 1)[0]
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="hierql-")
         spark.sparkContext.setCheckpointDir(root)
         return root
@@ -47,7 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there.
 
     The written table stays for as long as a result may be read from it; see
-    ``remove_materialized``.
+    ``written`` and ``remove_materialized``.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -56,11 +59,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_materialized(spark: SparkSession) -> None:
-    """Delete the tables that this process has written; results not stored by then are lost."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def written() -> int:
+    """How many tables this process has written and not deleted."""
+    return len(_WRITTEN)
+
+
+def remove_materialized(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written after the first ``since``, but not the last ``keep``.
+
+    What was not stored by then, and reads them, is lost.
+    """
+    for place in _WRITTEN[since : len(_WRITTEN) - keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(place)
 
 
 _SHIPPED: set[str] = set()

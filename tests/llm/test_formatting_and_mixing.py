@@ -120,6 +120,63 @@ def test_schedule_is_in_virtual_time_and_repeats(docs):
     assert first == again
 
 
+def simulated(sizes_in_order, targets):
+    """Words taken per (source, place in the queue), served word by word: of the words that start before time 1, the one that ends first."""
+    import heapq
+
+    total = sum(sum(q) for q in sizes_in_order.values())
+    names = sorted((s for s in sizes_in_order if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes_in_order if s is None]
+    heap = [(1 / targets[s], n, 1, s) for n, s in enumerate(names) if targets[s] > 0]
+    heapq.heapify(heap)
+    served = dict.fromkeys(sizes_in_order, 0)
+    for _ in range(total):
+        _, n, j, s = heapq.heappop(heap)
+        served[s] = j
+        if j / targets[s] < 1:
+            heapq.heappush(heap, ((j + 1) / targets[s], n, j + 1, s))
+    taken = {}
+    for s, queue in sizes_in_order.items():
+        start, whole = 0, sum(queue)
+        for k, size in enumerate(queue):
+            taken[s, k] = sum(max(0, min(size, served[s] - start - e * whole)) for e in range(3))
+            start += size
+    return taken
+
+
+def test_mix_equals_a_word_by_word_simulation(spark):
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)), ["a", "b", None, "tiny", "c", "c"][i % 6] if i % 30 else "zero") for i in range(180)] + [(900, "w " * 777, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    queues = defaultdict(list)
+    for i, text, source in sorted(rows, key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()):
+        queues[source].append((i, len(text.split())))
+    targets = reference_targets({s: sum(n for _, n in q) for s, q in queues.items()})
+    expected = simulated({s: [n for _, n in q] for s, q in queues.items()}, targets)
+    got = {r.doc_id: r.taken for r in mixing.fair_queue(frame, keep=["doc_id"]).withColumn("taken", mixing.taken()).collect()}
+    assert got == {queues[s][k][0]: n for (s, k), n in expected.items()}
+    assert sum(got.values()) == sum(len(t.split()) for _, t, _ in rows)
+    mixed = mixing.fair_mix(frame)
+    assert mixed.columns == ["doc_id", "text", "source", "mix_size", "mix_taken"]
+    assert {r.doc_id: r.mix_taken for r in mixed.collect()} == {i: n for i, n in got.items() if n}
+
+
+@pytest.mark.parametrize("name", ["offset", "s", "b", "hq_source_name", "mix_other", "source_size", "target", "position"])
+def test_mix_keeps_columns_of_any_name(docs, name):
+    wide = docs.withColumn(name, F.col("doc_id") + 1)
+    queued = mixing.fair_queue(wide)
+    assert name in queued.columns and queued.where(F.col(name) != F.col("doc_id") + 1).count() == 0
+    mixed = mixing.fair_mix(wide)
+    assert [c for c in mixed.columns if not c.startswith("mix_")] == [c for c in wide.columns if not c.startswith("mix_")] and mixed.where(F.col(name) != F.col("doc_id") + 1).count() == 0
+
+
+def test_equal_rows_share_what_is_taken(spark):
+    rows = [(None, "same words here", "a")] * 50 + [(i, "other words", "b") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.fair_mix(frame).collect()
+    total = sum(r.mix_taken for r in mixed)
+    assert 350 - 50 < total <= 350 and len({r.mix_taken for r in mixed if r.source == "a"}) == 1
+    assert mixing.fair_mix(frame.where("false")).count() == 0
+
+
 def test_mix_of_nothing(docs):
     assert mixing.fair_queue(docs.where("false")).count() == 0
     rows = mixing.fair_queue(docs.where("source = 'zero'")).withColumn("taken", mixing.taken()).collect()
