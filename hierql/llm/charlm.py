@@ -206,6 +206,16 @@ class Counts:
     def model(self) -> CharModel:
         return build(self.owner, self.symbols, self.counts, self.groups)
 
+    def part(self, prefix: str) -> Counts | None:
+        """The groups that begin with a prefix, without it; None if there is none."""
+        own = [i for i, g in enumerate(self.groups) if g.startswith(prefix)]
+        if not own:
+            return None
+        place = np.full(len(self.groups), -1)
+        place[own] = np.arange(len(own))
+        used = place[self.owner] >= 0
+        return Counts([self.groups[i][len(prefix) :] for i in own], place[self.owner[used]], self.symbols[used], self.counts[used])
+
     def plus(self, other: Counts) -> Counts:
         groups = sorted({*self.groups, *other.groups})
         place = [np.array([groups.index(g) for g in c.groups]) for c in (self, other)]

@@ -127,6 +127,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def prefixed(fields, prefix: str):
+    """Fields with a prefix before their names."""
+    from pyspark.sql import types as T
+
+    return T.StructType([T.StructField(prefix + f.name, f.dataType, f.nullable) for f in fields.fields])
+
+
 def annotate(docs: DataFrame, text_col: str, make, fields, keep: list[str]) -> DataFrame:
     """``keep`` columns plus ``fields``, which ``make()(texts)`` computes for a batch.
 

@@ -118,6 +118,24 @@ def test_calibration_rows_are_learned_too(spark, docs):
     assert only.chars.groups == ["dd"] and not language_id.identify(probe, only).first().rejected
 
 
+def test_texts_are_rejected_in_small_tables_too(spark, docs):
+    small = docs.where("doc_id < 40")  # about nine learnable rows a language
+    model = language_id.fit(small)
+    assert np.isfinite(model.mean).all() and np.isfinite(model.reach).all()
+    foreign = spark.createDataFrame([(1, "съешь ещё этих мягких французских булок да выпей чаю " * 20, None, None, "x"), (2, "zxq qzx wqk xkz vvq " * 60, None, None, "x")], docs.schema)
+    assert all(r.rejected and r.lang_pred in ("aa", "bb", "cc") for r in language_id.identify(foreign, model).collect())
+    assert not any(r.rejected for r in language_id.identify(docs, model, prefix="p_").where("p_rejected").select(F.col("p_rejected").alias("rejected")).collect())
+
+
+def test_repeated_ids_and_single_halves(spark, docs):
+    learnable = next(i for i in range(1_000, 9_000) if fold_of(i) != 1)
+    one = spark.createDataFrame([(learnable, "that there", "aa", 0, "x")] * 3, docs.schema)
+    model = language_id.fit(one)
+    assert model.chars.groups == ["aa"] and np.isinf(model.mean).all()
+    assert not language_id.identify(one, model).where("rejected").count()
+    assert language_id.fit(docs.union(one.withColumn("doc_id", F.lit(3).cast("long")))).chars.groups == ["aa", "bb", "cc"]
+
+
 def test_odd_texts_and_foreign_ones(spark, docs):
     model = language_id.fit(docs)
     rows = {r.doc_id: r for r in language_id.identify(odd(spark, docs), model).collect()}
