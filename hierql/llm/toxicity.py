@@ -18,12 +18,12 @@ from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charlm
-from .common import annotate, fold, mix64, prepare
+from .common import annotate, fold, materialize, mix64, prefixed, prepare
 
 #: Letters that a symbol may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "#": "h"}
@@ -32,7 +32,8 @@ SEPARATORS = frozenset(" .-_*'~,/·")
 SUBSTITUTE, SHORTEN, SKIP, BREAK = 1.0, 0.7, 0.4, 3.0
 #: A longer stretch of a single letter, without another letter beside it, has one reading.
 LONGEST = 40
-BEAM = 24
+#: Letters of a stretch that are scored one by one; the context is the same from there on.
+SCORED = charlm.ORDER
 _EDGE = ".,;:?\"')]}>”»…%&*~^="
 _OPEN = "\"'([{<“«%&*~^="
 _STRETCH = re.compile(r"(.)\1\1")
@@ -62,57 +63,58 @@ class Decoder:
             self.known.update(zip(new, self.chars.score(symbols)[:, 0].tolist(), strict=True))
 
     @staticmethod
-    def lattice(word: str) -> list[list[tuple[str, float]]]:
-        """Per stretch of equal characters: (reading, cost); a space in a reading is a word break."""
+    def lattice(word: str) -> list[list[tuple[str, float, int]]]:
+        """Per stretch of equal characters: (reading, cost, further letters like its last); a space is a word break."""
         stretches = [(c, len(list(g))) for c, g in groupby(word)]
         doubled = sum(n >= 2 for _, n in stretches) >= 3
         out = []
         for c, n in stretches:
             if c.isalpha():
-                options = [(c * n, 0.0)] if n < 8 else []
+                options = [(c * min(n, SCORED), 0.0, max(n - SCORED, 0))]
                 if n >= 3:
-                    options += [(c, SHORTEN), (c * 2, SHORTEN)]
+                    options += [(c, SHORTEN, 0), (c * 2, SHORTEN, 0)]
                 elif n == 2 and doubled:
-                    options.append((c, SHORTEN))
+                    options.append((c, SHORTEN, 0))
             elif c in SEPARATORS:
-                options = [("", SKIP * n), (" ", 0.0)]
+                options = [("", SKIP * n, 0), (" ", 0.0, 0)]
             else:
-                options = [(" ", BREAK)]
+                options = [(" ", BREAK, 0)]
             for letter in LOOKALIKES.get(c, ""):
-                options += [(letter, SUBSTITUTE * min(n, 2))] + [(letter * 2, SUBSTITUTE * 2)] * (n >= 2)
+                options += [(letter, SUBSTITUTE * min(n, 2), 0)] + [(letter * 2, SUBSTITUTE * 2, 0)] * (n >= 2)
             out.append(options)
         return out
 
     def read(self, word: str) -> str:
-        """The likeliest reading: words with spaces between them."""
+        """The likeliest reading: words with spaces between them.
+
+        A state is the context of the next letter; every state is kept, the best
+        path to each of them.
+        """
         start = "\0" * (charlm.ORDER - 1)
-        beam: dict[str, tuple] = {start: (0.0, None)}  # score, chain of (reading so far, option)
-        for options in [*self.lattice(word), [(" ", 0.0)]]:
+        states: dict[str, tuple] = {start: (0.0, None)}  # score, chain of (reading so far, option)
+        for options in [*self.lattice(word), [(" ", 0.0, 0)]]:
             if len(self.known) > 60_000:
                 self.known.clear()
-            steps = [(context, score, text, option, cost) for context, (score, text) in beam.items() for option, cost in options]
-            for i in range(max(len(o) for o, _ in options)):
-                wanted = []
-                for context, _, _, option, _ in steps:
-                    if i < len(option):
-                        c = self.after(context, option[:i])
-                        if option[i] != " " or c[0] != "\0":
-                            wanted.append((chr(charlm.END) if option[i] == " " else option[i]) + c)
-                self.logs(wanted)
+            steps, wanted = [], []
+            for context, (score, text) in states.items():
+                for option, cost, further in options:
+                    at, asked = context, []
+                    for letter in option:
+                        if letter != " " or at[0] != "\0":
+                            asked.append((chr(charlm.END) if letter == " " else letter) + at)
+                        at = self.after(at, letter)
+                    if further:
+                        asked.append(option[-1] + at)
+                    wanted += asked
+                    steps.append((at, score - cost, asked, text, option + option[-1:] * further, further))
+            self.logs(wanted)
             ahead: dict[str, tuple] = {}
-            for context, score, text, option, cost in steps:
-                score -= cost
-                for i, letter in enumerate(option):
-                    c = self.after(context, option[:i])
-                    if letter != " ":
-                        score += self.known[letter + c]
-                    elif c[0] != "\0":
-                        score += self.known[chr(charlm.END) + c]
-                to = self.after(context, option)
+            for to, score, asked, text, option, further in steps:
+                score += sum(self.known[a] for a in asked) + (self.known[asked[-1]] * (further - 1) if further else 0.0)
                 if to not in ahead or score > ahead[to][0]:
                     ahead[to] = score, (text, option)
-            beam = dict(sorted(ahead.items(), key=lambda x: -x[1][0])[:BEAM])
-        chain, parts = max(beam.values(), key=lambda x: x[0])[1], []
+            states = ahead
+        chain, parts = max(states.values(), key=lambda x: x[0])[1], []
         while chain:
             chain, option = chain
             parts.append(option)
@@ -262,8 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     The classifier sees at most ``labelled_rows`` of them, the first by md5 of
     the id.  Rows with a null text count as empty texts, null labels are
-    ignored, of repeated labels the largest counts.  Without any toxic or any
-    clean row every text gets the same low score.
+    ignored, of repeated labels the largest counts, of repeated ids the first
+    text.  Features are counted by Spark; the driver gets those chosen, of these
+    rows.  Without any toxic or any clean row every text gets the same low score.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -272,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     model = ToxicityModel(chars, uuid.uuid4().hex, threshold=threshold)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(fold("id") != 1)
     marks = marks.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(labelled_rows)
-    chosen = base.join(F.broadcast(marks), "id")  # at most labelled_rows rows
+    chosen = base.join(F.broadcast(marks), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))  # at most labelled_rows rows
     shared = spark.sparkContext.broadcast(chars)
     schema = T.StructType([T.StructField("features", T.ArrayType(T.IntegerType()))])
 
@@ -289,30 +292,42 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
         return collect
 
-    found = annotate(chosen, "text", make, schema, ["label"]).toArrow()
-    y = found.column("label").to_numpy().astype(float)
-    if len(y) and 0 < y.sum() < len(y):
-        lists = found.column("features").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0)
-        model.weights, model.bias = regress(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), y, kept_features)
+    found = materialize(annotate(chosen, "text", make, schema, ["label"]), "features")
+    n, p = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if 0 < p < n:
+        best = telling_features(found, n, p, kept_features)
+        place = np.array(best, np.int32)
+
+        def choose(batches):
+            for batch in batches:
+                lists = [np.intersect1d(x, place).astype(np.int32) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["label", "features"])
+
+        rows = found.mapInArrow(choose, "label int, features array<int>").toArrow()
+        lists = rows.column("features").to_pylist()
+        values = np.array([v for x in lists for v in x], np.int64)
+        model.weights, model.bias = regress(values, np.array([len(x) for x in lists], np.int64), rows.column("label").to_numpy().astype(float), np.array(best, np.int64))
     return model
 
 
-def regress(values: np.ndarray, lengths: np.ndarray, y: np.ndarray, kept: int) -> tuple[dict[int, float], float]:
-    """Logistic regression on the features with the highest likelihood ratio, both classes weighing the same."""
-    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    n, p, total = len(y), y.sum(), np.bincount(values, minlength=1 << FEATURE_BITS).astype(float)
-    toxic = np.bincount(values[y[row] > 0], minlength=1 << FEATURE_BITS).astype(float)
-    at = np.flatnonzero(total >= 3)
-    a, b = toxic[at], total[at] - toxic[at]
+def telling_features(found: DataFrame, n: int, p: int, kept: int) -> list[int]:
+    """Of the features of three rows and more, at most ``kept``, with the highest likelihood ratio, in order."""
+    counts = found.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("seen"), F.sum("label").cast("double").alias("toxic")).where("seen >= 3")
+    clean = F.col("seen") - F.col("toxic")
+    share, other = F.col("seen") * p / n, F.col("seen") * (n - p) / n
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    def term(seen, share):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / share), 0.0)
+    gain = term(F.col("toxic"), share) + term(clean, other) + term(p - F.col("toxic"), p - share) + term(n - p - clean, n - p - other)
+    best = counts.select("feature", gain.alias("gain")).where("gain > 5").orderBy(F.desc("gain"), "feature").limit(kept)
+    return sorted(r.feature for r in best.collect())
 
-    ea, eb = total[at] * p / n, total[at] * (n - p) / n
-    gain = term(a, ea) + term(b, eb) + term(p - a, p - ea) + term(n - p - b, n - p - eb)
-    best = np.sort(at[np.argsort(-gain, kind="stable")[:kept]][np.sort(-gain, kind="stable")[:kept] < -5])
+
+def regress(values: np.ndarray, lengths: np.ndarray, y: np.ndarray, best: np.ndarray) -> tuple[dict[int, float], float]:
+    """Logistic regression on the features ``best``, both classes weighing the same."""
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    n, p = len(y), y.sum()
     if not len(best):
         return {}, float(np.log(p / (n - p)))
     place = np.full(1 << FEATURE_BITS, -1, np.int32)
@@ -332,8 +347,8 @@ def regress(values: np.ndarray, lengths: np.ndarray, y: np.ndarray, kept: int) -
     return dict(zip(best.tolist(), w[:-1].tolist(), strict=True)), float(w[-1])
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all) plus score (0 to 1) and predicted (1 from the threshold on).
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``keep`` columns (default: all) plus score (0 to 1) and predicted (1 from the threshold on), with ``prefix`` before their names.
 
     Null and empty texts have the score of a text without any known feature.
     Every row stays; equal texts get equal scores.
@@ -351,7 +366,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: l
 
         return measure
 
-    return annotate(docs, text_col, make, FIELDS, keep if keep is not None else docs.columns)
+    return annotate(docs, text_col, make, prefixed(FIELDS, prefix), keep if keep is not None else docs.columns)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

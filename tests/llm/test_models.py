@@ -189,6 +189,42 @@ def test_decoder_forgets_between_words(toxic):
     assert decode.words("1d10t") == ["idiot"] and len(decode.known) < 60_000
 
 
+def test_decoder_finds_the_best_of_all_paths(toxic):
+    """Viterbi search against every path through random lattices."""
+    from itertools import product
+
+    decode, rnd = toxicity.Decoder(toxic.chars), random.Random(12)
+
+    def log(reading):
+        total, context = 0.0, "\0" * 4
+        for c in reading + " ":
+            if c != " " or context[0] != "\0":
+                symbols = charlm.code_points((chr(charlm.END) if c == " " else c) + context).reshape(1, -1)
+                total += float(toxic.chars.score(symbols)[0, 0])
+            context = "\0" * 4 if c == " " else (c + context)[:4]
+        return total
+
+    logs = {}
+    for _ in range(150):
+        word = "".join(rnd.choice("idot1053$.- x%") * rnd.choice([1, 1, 1, 2, 3, 9]) for _ in range(rnd.randint(1, 6)))
+        paths = {}
+        for path in product(*decode.lattice(word)):
+            reading, cost = "".join(o + o[-1:] * more for o, _, more in path), sum(c for _, c, _ in path)
+            if reading not in logs:
+                logs[reading] = log(reading)
+            paths[reading] = max(paths.get(reading, -np.inf), logs[reading] - cost)
+        best = max(paths.values())
+        assert paths[decode.read(word).removesuffix(" ")] == pytest.approx(best, abs=1e-3), word
+
+
+def test_repeated_ids_and_long_texts_are_learned_once(spark, docs):
+    marks = docs.select("doc_id", F.col("label").alias("toxic"))
+    long = spark.createDataFrame([(i, "that there " * 30_000, None, 0, "x") for i in (1, 2, 3)], docs.schema)
+    once, again = toxicity.fit(docs, marks), toxicity.fit(docs.union(docs), marks)
+    assert once.weights.keys() == again.weights.keys() and once.bias == pytest.approx(again.bias)
+    assert len(toxicity.fit(docs.union(long), marks, kept_features=5).weights) <= 5
+
+
 def test_decoder_reads_words_of_any_length(toxic):
     decode = toxicity.Decoder(toxic.chars)
     assert decode.words("s" + "t" * 60 + "upid") == ["stupid"]
