@@ -19,13 +19,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_path
+from .common import materialize, prepare, shared_path
 
 MANIFEST = "_manifest.json"
 #: Columns that a header alone gives, with the header's name.
@@ -113,7 +114,7 @@ def parse_header(raw: bytes) -> dict[str, str]:
 
 
 class Source:
-    """Buffered bytes of a file, with a way to skip."""
+    """Buffered bytes of a file, with a way to skip and to give back what was read too far."""
 
     def __init__(self, file):
         self.file, self.buffer = file, b""
@@ -128,6 +129,15 @@ class Source:
         self.buffer = self.buffer[len(out) :]
         return out
 
+    def some(self, n: int) -> bytes:
+        """Between one and ``n`` bytes, unless the file ends: what is there, without copying more together."""
+        if not self.buffer:
+            return self.file.read(n)
+        return self.take(min(n, len(self.buffer)))
+
+    def unread(self, rest: bytes) -> None:
+        self.buffer = rest + self.buffer
+
     def skip(self, n: int) -> None:
         if n <= len(self.buffer):
             self.buffer = self.buffer[n:]
@@ -186,40 +196,39 @@ def skip_length(source: Source) -> int | None:
 
 
 def gzip_record(source: Source, wanted, decode: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The record of a gzip member, inflated chunk by chunk: every byte is read and copied once."""
     length = skip_length(source)
     inflate = zlib.decompressobj(31)
-    plain, used, rest = b"", 0, b""
+    used = 0
 
     def more(limit: int) -> bytes:
-        nonlocal used, rest
-        chunk = rest
+        nonlocal used
+        chunk = inflate.unconsumed_tail
         if not chunk:
-            chunk = source.peek(used + (1 << 14))[used:] if length is None else source.peek(min(length, used + (1 << 14)))[used:]
+            chunk = source.some(1 << 16 if length is None else min(1 << 16, length - used))
             used += len(chunk)
-            if not chunk and not inflate.eof:
+            if not chunk:
                 raise ValueError("a gzip member has no end")
-        out = inflate.decompress(chunk, limit)
-        rest = inflate.unconsumed_tail
-        return out
+        return inflate.decompress(chunk, limit)
 
+    plain = b""
     while b"\r\n\r\n" not in plain and not inflate.eof:
         plain += more(1 << 11)
     raw, _, block = plain.partition(b"\r\n\r\n")
     head = parse_header(raw)
     take = wanted(head)
+    parts = [block]
     if take and decode or length is None:
-        parts = [block]
         while not inflate.eof:
-            parts.append(more(1 << 20 if take and decode else 1 << 16))
-            if not (take and decode):
-                parts.clear()
-        source.skip(length if length is not None else used - len(inflate.unused_data))
-        if take:
-            yield head, b"".join(parts)[: int(head.get("content-length", 0))] if decode else None
+            part = more(1 << 20)
+            if take and decode:
+                parts.append(part)
+    if length is None:
+        source.unread(inflate.unused_data)
     else:
-        source.skip(length)
-        if take:
-            yield head, None
+        source.skip(length - used)
+    if take:
+        yield head, b"".join(parts)[: int(head.get("content-length", 0))] if decode else None
 
 
 def column(head: dict[str, str], name: str):
@@ -372,7 +381,10 @@ class Written(ds.WriterCommitMessage):
 
 
 class WarcWriter(ds.DataSourceArrowWriter):
-    """Rows need record_id, record_type, target_uri, refers_to, payload_digest, payload_length, payload."""
+    """Rows need record_id, record_type, target_uri, refers_to, payload_digest, payload_length, payload.
+
+    A ``date`` is the record's; without one it is the time of writing.
+    """
 
     def __init__(self, options):
         self.path, self.roll = options["path"], int(options.get("file_bytes", 64 << 20))
@@ -415,6 +427,7 @@ def record(row: dict) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(row["payload_length"]).encode() + b"\r\n\r\n"
     block = http if row["record_type"] == "revisit" else http + payload
     head = [(HEADERS[c], row[c]) for c in ("record_type", "record_id", "target_uri", "refers_to", "payload_digest")]
+    head.insert(2, ("WARC-Date", row.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")))
     head += [("WARC-Payload-Length", str(row["payload_length"])), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if row["record_type"] == "revisit":
         head.insert(2, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
@@ -455,18 +468,23 @@ def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None,
     return spark.read.format("warc").schema(", ".join(f"{c} {kinds[c]}" for c in columns or kinds)).option("where", json.dumps(list(where))).load(path)
 
 
-def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:
+def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, date_col: str | None = None) -> DataFrame:
     """One record per page for the writer: equal payloads of ``least_bytes`` and more become revisits.
 
+    Repeated payloads are found by digest and length alone and written; payloads
+    then move only if that table is too large to broadcast by Spark's own check.
+    Records have the time of writing as their date, or that of a ``date_col``.
+
     The page with the largest id is the response that they refer to.  A null
     payload counts as empty; a null URL leaves its header out; a null id gives a
     record without a number, always a response; repeated rows of the largest id are responses all.
     """
     payload = F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "utf-8")
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("target_uri"), payload.alias("payload"))
+    date = F.date_format(F.to_utc_timestamp(F.col(f"`{date_col}`"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("target_uri"), payload.alias("payload"), date.alias("date"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_length", F.octet_length("payload").cast("long"))
     repeated = rows.where(F.col("payload_length") >= least_bytes).groupBy("digest", "payload_length").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "payload_length", "first")
-    rows = rows.join(repeated, ["digest", "payload_length"], "left")
+    rows = rows.join(materialize(repeated, "repeated"), ["digest", "payload_length"], "left")
     revisit = F.col("id").isNotNull() & F.col("first").isNotNull() & (F.col("id") != F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     return rows.select(
@@ -477,6 +495,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"),
         "payload_length",
         F.when(~revisit, F.col("payload")).alias("payload"),
+        "date",
     )
 
 
@@ -484,15 +503,13 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     register(spark)
     path = shared_path(spark, "warc")
     page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")).write.format("warc").mode("append").save(path)
-    read = read_warc(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "payload_length", "payload_sha1", "payload_bytes"])
+    headers = ["record_id", "record_type", "refers_to", "payload_digest", "payload_length"]
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    return read.select(
-        number("record_id").alias("page_id"),
-        F.coalesce("payload_bytes", "payload_length").alias("payload_bytes"),
-        F.coalesce("payload_sha1", F.substring("payload_digest", 6, 40)).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+    # Revisits are read by their headers alone; only responses are decoded.
+    revisits = read_warc(spark, path, headers, [("record_type", "=", "revisit")]).select("*", F.col("payload_length").alias("n"), F.substring("payload_digest", 6, 40).alias("sha1"))
+    others = read_warc(spark, path, [*headers, "payload_sha1", "payload_bytes"], [("record_type", "not =", "revisit")]).select(*headers, F.col("payload_bytes").alias("n"), F.col("payload_sha1").alias("sha1"))
+    read = revisits.unionByName(others)
+    return read.select(number("record_id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
 
 
 OP7_SQL = r"""

@@ -111,6 +111,49 @@ def test_archives_of_other_writers(form):
         list(warc.records(io.BytesIO(b"junk"), lambda h: True, True))
 
 
+@pytest.mark.parametrize("form", ["own", "foreign gzip"])
+def test_long_records_are_read_in_proportion(form):
+    import random
+    import time
+
+    def seconds(size):
+        payload = random.Random(1).randbytes(size)
+        row = {"record_id": "<1>", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": "d", "payload_length": size, "payload": payload}
+        data = warc.member(warc.record(row), 1) if form == "own" else gzip.compress(warc.record(row), 1)
+        start = time.perf_counter()
+        head, block = next(warc.records(io.BytesIO(data + data), lambda h: True, True))
+        assert warc.payload_of(head, block) == payload
+        assert sum(1 for _ in warc.records(io.BytesIO(data + data), lambda h: True, False)) == 2
+        return time.perf_counter() - start
+
+    seconds(1 << 20)
+    assert seconds(64 << 20) < 6
+
+
+def test_records_have_dates(spark, tmp_path):
+    warc.register(spark)
+    rows = spark.createDataFrame([(1, "u", "x", "d")], PAGES).withColumn("at", F.timestamp_seconds(F.lit(86_400)))
+    warc.page_records(rows, date_col="at").write.format("warc").mode("append").save(str(tmp_path / "dated"))
+    assert warc.read_warc(spark, str(tmp_path / "dated"), ["date"]).first().date == "1970-01-02T00:00:00Z"
+    warc.page_records(rows).write.format("warc").mode("append").save(str(tmp_path / "now"))
+    assert warc.read_warc(spark, str(tmp_path / "now"), ["date"]).first().date > "2024"
+
+
+def test_pushed_predicates_skip_payloads_in_a_spark_read(spark, tmp_path):
+    """Torn payloads are no problem to a read that does not want them."""
+    folder = tmp_path / "torn"
+    folder.mkdir()
+    rows = [{"record_id": f"<{i}>", "record_type": t, "target_uri": "u", "refers_to": None, "payload_digest": "d", "payload_length": 200_000, "payload": os.urandom(200_000)} for i, t in enumerate(["response", "resource", "response"])]
+    whole = [bytearray(warc.member(warc.record(r))) for r in rows]
+    whole[1][100_000:100_100] = b"\xff" * 100
+    (folder / "a.warc.gz").write_bytes(b"".join(whole))
+    found = warc.read_warc(spark, str(folder), where=[("record_type", "=", "response")]).collect()
+    assert sorted(r.record_id for r in found) == ["<0>", "<2>"] and all(r.payload_bytes == 200_000 for r in found)
+    assert warc.read_warc(spark, str(folder), ["record_id"]).count() == 3
+    with pytest.raises(Exception, match="(?s)zlib|Error -3|incorrect"):
+        warc.read_warc(spark, str(folder)).collect()
+
+
 def test_empty_archive(spark, tmp_path):
     warc.register(spark)
     warc.page_records(pages(spark).where("false")).write.format("warc").mode("append").save(str(tmp_path / "none"))
