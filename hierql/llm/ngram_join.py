@@ -12,8 +12,10 @@
 4. Groups in which pairs are left get their members' shingles, and those pairs
    are verified exactly.  Groups report each member's number of links and its
    local component; pairs never become rows.
-5. Components are found by passing the smallest id along groups and contracting
-   them until nothing changes, each round written to the shared folder.
+5. Components are found by passing the smallest id along groups, following what
+   was passed to its end by doubling, and contracting groups until nothing
+   changes, each round written to the shared folder; rounds grow with the
+   logarithm of a chain's length.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, materialize, mix64, prepare
+from .common import annotate, materialize, mix64, prepare, remove_materialized, written
 from .shingles import WIDTH, min_hashes, set_digest, shingles
 
 HASHES, BANDS, STEP = 128, 32, 16
@@ -269,7 +271,8 @@ def components(edges: DataFrame) -> DataFrame:
     An edge joins all its nodes; it stays one row, so no edge weighs more than
     another.  Nodes first take the smallest label of their edges.  Then edges are
     contracted to the labels that their nodes have, and those with more than one
-    pass the smallest on, until none is left; only labels that change are looked at again.
+    pass the smallest on, and what that label was passed itself, until none is
+    left; only labels that change are looked at again.
     """
     first = edges.select("low", F.explode("nodes").alias("node")).groupBy("node").agg(F.min("low").alias("label"))
     labels = materialize(first, "labels")
@@ -279,16 +282,27 @@ def components(edges: DataFrame) -> DataFrame:
         if not open_edges.take(1):
             return labels
         step = open_edges.select(F.array_min("labels").alias("to"), F.explode("labels").alias("from")).groupBy("from").agg(F.min("to").alias("to"))
-        step = materialize(step, "step")
+        step = followed(materialize(step, "step"))
         moved = F.coalesce("to", "label")
         on = F.col("label.node") == F.col("from.node")
         labels = materialize(labels.join(step, on, "left").select("node", moved.alias("label")), "labels")
         members = open_edges.select("edge", F.explode("labels").alias("label")).join(step, on, "left").select("edge", moved.alias("label"))
 
 
+def followed(step: DataFrame) -> DataFrame:
+    """(from, to) with every ``to`` at the end of its path, which doubling reaches in log steps."""
+    while True:
+        ahead = step.select(F.col("from.node").alias("at"), F.col("to").alias("further"))
+        ahead = step.join(ahead, F.col("to.node") == F.col("at"), "left").select("from", F.coalesce("further", "to").alias("to"), F.coalesce(F.col("further.node") != F.col("to.node"), F.lit(False)).alias("moved"))
+        ahead = materialize(ahead, "step")
+        step = ahead.drop("moved")
+        if not ahead.where("moved").take(1):
+            return step
+
+
 def node_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, tolerance: float, block: int) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and (node, class_id, first_node, links, copies): of each set, the smallest (id, node) of its class."""
-    spark = docs.sparkSession
+    spark, start = docs.sparkSession, written()
     prepare(spark)
     sketches = materialize(sketch(docs, id_col, text_col, width), "sketches")
     counted = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
@@ -303,6 +317,7 @@ def node_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float,
         "node", F.coalesce("label.id", "id").alias("class_id"), F.coalesce("label.node", "node").alias("first_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies"
     )
     whole = materialize(whole, "classes")
+    remove_materialized(spark, since=start + 1, keep=1)
     return sketches, whole
 
 
@@ -315,14 +330,15 @@ def similarity_classes(
     tolerance: float = 1e-6,
     block: int = 2048,
 ) -> DataFrame:
-    """(id, class_id, links, copies) for every row of ``docs``.
+    """(id, class_id, links, copies) for every row of ``docs``, whose ids are integers.
 
     class_id is the smallest id that a chain of links leads to, links the number
     of other rows whose shingle set has a Jaccard similarity of ``threshold`` or
     more, copies the number of rows with the same set.  Texts that are null or
     without a word are linked to nothing, a text of fewer than ``width`` words
     is one shingle.  Rows with a null id get a null class and no links; repeated
-    ids count as rows of their own.  An empty table gives an empty result.
+    ids count as rows of their own.  An empty table gives an empty result.  Ids
+    that are no integers are refused (by the cast, under ANSI rules).
     """
     sketches, whole = node_classes(docs, id_col, text_col, threshold, width, tolerance, block)
     whole = whole.drop("first_node")

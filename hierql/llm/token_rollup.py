@@ -129,24 +129,34 @@ class TokenRollup:
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all committed batches."""
         base, covered = self._base(), self._covered()
-        paths = [f"{self.root}/batches/{n}" for n in self._names("batches") if n not in covered]
+        return self._sums(base, [n for n in self._names("batches") if n not in covered])
+
+    def _sums(self, base: str | None, names: list[str]) -> DataFrame:
+        """Totals of a base and the batches of the given names, whatever is committed meanwhile."""
         found = self.spark.createDataFrame([], DELTA)
         if base:
             found = found.unionByName(self.spark.read.schema(DELTA).parquet(f"{self.root}/{base}").where("docs IS NOT NULL"))
-        if paths:
-            found = found.unionByName(self.spark.read.schema(DELTA).parquet(*paths))
+        if names:
+            found = found.unionByName(self.spark.read.schema(DELTA).parquet(*[f"{self.root}/batches/{n}" for n in names]))
         return found.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base; later commits of their names change nothing."""
-        names = sorted(set(self._names("batches")) | self._covered())
-        if not names:
-            return
-        marks = self.spark.createDataFrame([(n, None, None, None, None) for n in names], DELTA)
-        base = self._base()
-        if self._publish(self.totals().unionByName(marks), f"base-{int(base[5:]) + 1 if base else 1}"):
-            for n in names:
-                self._fs().delete(self._path(f"batches/{n}"), True)
+        """Fold the batches committed by now into a new base; later commits of their names change nothing.
+
+        A batch committed meanwhile is no part of the base and counts beside it.
+        What the base replaces stays for readers that began before it; the next
+        compaction deletes it.
+        """
+        base, covered = self._base(), self._covered()
+        names = sorted(set(self._names("batches")) - covered)
+        old = [f"batches/{n}" for n in sorted(set(self._names("batches")) & covered)]
+        old += [n for n in self._names("") if re.fullmatch(r"base-\d+", n) and n != base]
+        if names:
+            marks = self.spark.createDataFrame([(n, None, None, None, None) for n in sorted({*names, *covered})], DELTA)
+            if not self._publish(self._sums(base, names).unionByName(marks), f"base-{int(base[5:]) + 1 if base else 1}"):
+                return  # another compaction was first
+        for n in old:
+            self._fs().delete(self._path(n), True)
 
 
 #: Texts with this mark are taken down in op10's third batch.

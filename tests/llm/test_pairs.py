@@ -132,6 +132,21 @@ def test_components_of_long_chains(spark):
     assert got == {n: min(ids[:31]) if n[0] < 31 else min(ids[32:40]) for n in nodes if n[0] != 31}
 
 
+def test_rounds_grow_with_the_logarithm_of_a_rising_chain(spark):
+    """Revisions of a page, each near the one before it, with rising ids."""
+    from hierql.llm import common
+
+    tables = []
+    for n in (20, 160):
+        key = [i.to_bytes(4, "big") for i in range(n)]
+        edges = spark.createDataFrame([(f"e{i}", [key[i], key[i + 1]], (i, key[i])) for i in range(n - 1)], "edge string, nodes array<binary>, low struct<id:bigint,node:binary>")
+        before = common.written()
+        found = ngram_join.components(edges).collect()
+        tables.append(common.written() - before)
+        assert len(found) == n and {r.label.id for r in found} == {0}
+    assert tables[1] <= tables[0] + 4 and tables[1] < 20
+
+
 def test_pairs_are_split_whole():
     rnd = np.random.default_rng(2)
     left, right = np.triu_indices(50, 1)

@@ -277,6 +277,29 @@ def test_inserts_revisions_deletes_and_repeats(spark, docs, tmp_path):
         token_rollup.changes("upsert", docs, "w", F.lit(1))
 
 
+def test_a_commit_during_compaction_counts_once(spark, docs, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/totals")
+    one = docs.where("doc_id = 1")
+    rollup.commit("a", token_rollup.changes("insert", one, "w", F.lit(10)))
+    early = rollup.totals()
+    publish = rollup._publish
+
+    def slow(df, name):
+        rollup._publish = publish
+        assert rollup.commit("b", token_rollup.changes("insert", one, "w", F.lit(10)))
+        return publish(df, name)
+
+    rollup._publish = slow
+    rollup.compact()
+    assert totals(rollup) == [("s", "en", "w", 2, 20)]
+    assert [tuple(r) for r in early.collect()] == [("s", "en", "w", 1, 10)]  # a reader from before the compaction
+    rollup.compact()
+    assert totals(rollup) == [("s", "en", "w", 2, 20)] and rollup._names("batches") == ["b"]
+    rollup.compact()
+    assert totals(rollup) == [("s", "en", "w", 2, 20)] and rollup._names("batches") == [] and rollup._names("base") == []
+    assert not rollup.commit("b", token_rollup.changes("insert", one, "w", F.lit(10)))
+
+
 def test_a_failed_batch_leaves_nothing(spark, docs, tmp_path):
     rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/totals")
     bad = token_rollup.changes("insert", docs, "w", F.raise_error(F.lit("lost")).cast("long"))
