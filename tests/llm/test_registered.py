@@ -83,3 +83,36 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_run_applies_all_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_of_empty_and_odd_tables(spark, k):
+    """Nulls everywhere, repeated rows and columns named like the models' results."""
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("score", "predicted", "lang_pred", "entropy", "rejected", "benchmark_hits", "item_id", "class_id", "s", "b")})
+    extra = wide.where("doc_id = 1")
+    odd = [extra.withColumns({c: F.lit(None).cast(docs.schema[c].dataType) for c in columns}) for columns in (docs.columns, ["text"], ["doc_id"], ["lang", "source"])]
+    for o in [*odd, extra, extra.withColumn("text", F.lit("")), extra.withColumns({"doc_id": F.lit(-5).cast("long"), "text": F.lit("very long " * 30_000)})]:
+        wide = wide.unionByName(o)
+    out = stage(spark, wide, DATA)
+    assert [c for c in out.columns if c not in ("size", "taken")] == wide.columns
+    rows = out.collect()
+    kept = [r for r in rows if r.doc_id is not None and r.doc_id > 1]
+    assert kept and all(r.score == f"score{r.doc_id}" and r.rejected == f"rejected{r.doc_id}" and r.item_id == f"item_id{r.doc_id}" for r in kept)
+    if name in ("toxicity", "decontamination"):
+        assert sum(r.text is None for r in rows) == 2 and any(r.text == "" for r in rows)
+    elif name in ("language_id", "mixing"):
+        assert all(r.text for r in rows)
+    else:
+        assert sum(r.doc_id is None for r in rows) == 2 and sum(r.text == "" for r in rows) == 1
+    empty = stage(spark, wide.where("false"), DATA)
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_stages_delete_what_they_leave_behind(spark):
+    from hierql.llm import common
+
+    before = common.written()
+    corpus_pipeline.run(spark, DATA).count()
+    assert common.written() - before < 16  # the last stage's tables and its input
