@@ -184,7 +184,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, it
     masks = materialize(items.select("text").distinct().mapInArrow(sizes_of, "size int").distinct(), "sizes")
     sizes = [r.size for r in masks.where(F.col("size") < LONG).collect()] + [LONG]  # LONG numbers at most
     found = materialize(candidates(rows, items, list({m: None for n in sorted(sizes) for m in masks_of(n)}), chars <= block_chars), "candidates")
-    pairs = found.join(items.select("item_id", F.col("text").alias("item_text"), F.xxhash64("text").alias("item")), "item").drop("item")
+    items = items.select("item_id", F.col("text").alias("item_text"), F.xxhash64("text").alias("item"))
     row_type = rows.schema["hq_row"]
 
     def run(batches):
@@ -203,7 +203,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, it
             yield pa.RecordBatch.from_arrays([batch.column("hq_row").take(take), batch.column("doc").take(take), batch.column("item_id").take(take), *numbers], names=["hq_row", "doc", *HIT.fieldNames()])
 
     schema = T.StructType([row_type, T.StructField("doc", T.StringType()), *HIT.fields])
-    return rows.join(pairs, "doc").select("hq_row", "doc", "text", "item_id", "item_text", "diagonals").mapInArrow(run, schema)
+    # Both are plain scans of written tables, so the planner knows whether they are small; else texts are shuffled.
+    return rows.join(found, "doc").join(items, "item").select("hq_row", "doc", "text", "item_id", "item_text", "diagonals").mapInArrow(run, schema)
 
 
 def sizes_of(batches):
