@@ -81,3 +81,21 @@ def dialogues(spark: SparkSession, sf_dir: str) -> EventStore:
         {Scope.LOG: one_log(spark, "conversations"), Scope.TRACE: traces, Scope.EVENT: events},
         {Scope.LOG: Binding({"concept:name": "name"}), Scope.TRACE: Binding({"concept:name": "trace_id"}), Scope.EVENT: Binding({"concept:name": "role"}, {"text": "text"})},
     )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> EventStore:
+    """Languages are logs, their sources traces, documents the events; documents without a label have no quality."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    trace = F.concat_ws("-", "lang", "source").alias("trace_id")
+    logs = rows.select("lang").distinct().select(F.col("lang").alias("log_id"), F.col("lang").alias("log_order"))
+    traces = rows.select("lang", "source").distinct().select(F.col("lang").alias("log_id"), trace, F.col("source").alias("trace_order"), "source")
+    events = rows.select(
+        F.col("lang").alias("log_id"), trace, F.col("doc_id").cast("string").alias("event_id"), F.col("doc_id").alias("event_order"),
+        "source", "text", "quality", F.col("n_chars").alias("size"), F.when(F.col("n_chars") > 2000, "yes").otherwise("no").alias("long"),
+    )
+    return EventStore(
+        {Scope.LOG: logs, Scope.TRACE: traces, Scope.EVENT: events},
+        {Scope.LOG: Binding({"concept:name": "log_id"}), Scope.TRACE: Binding({"concept:name": "source"}), Scope.EVENT: Binding({"concept:name": "source"}, {c: c for c in ("text", "quality", "size", "long")})},
+        [Classifier("Quality", ("quality",))],
+    )
