@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hierql.errors import PqlError
@@ -86,17 +88,37 @@ class PqlResult:
         return lists.withColumn(name, F.array_sort(name, lambda a, b: F.when(a["_pos"] < b["_pos"], -1).when(a["_pos"] > b["_pos"], 1).otherwise(0)))
 
 
-def execute(store: EventStore, query: str, log_id: str | None = None, limits: dict[Scope, int] | None = None, now: datetime | None = None) -> PqlResult:
-    """Run a read query; ``limits`` are caps that the query's own limits can only lower."""
+@contextmanager
+def utc(spark: SparkSession):
+    """Expressions that are built inside compute in UTC, whatever the session's time zone."""
+    name = "spark.sql.session.timeZone"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def execute(store: EventStore, query: str, log_id: str | None = None, limits: dict[Scope, int] | None = None, now: datetime | None = None, fan_out: bool = False) -> PqlResult:
+    """Run a read query; ``limits`` are caps that the query's own limits can only lower.
+
+    With ``fan_out`` a query with classifiers over several logs keeps its own
+    limit of logs, or none, in place of the cap.
+    """
     if log_id is not None:
         store = store.only(log_id)
     plan = compile_query(query, store.classifiers)
     if plan.delete is not None:
         raise ValueError("a delete query cannot be executed as a read; use delete()")
+    uses_classifiers = any(k.kind == "classifier" for k in plan.group_by) or bool(re.search(r"\b(c|classifier):", query))
     for scope, n in (limits or {}).items():
+        if fan_out and scope == Scope.LOG and uses_classifiers:
+            continue
         plan.limits[scope] = min(n, plan.limits.get(scope, n))
-    lowering = Lowering(store, plan, now)
-    return PqlResult(lowering.results(), plan, store, lowering)
+    with utc(store.logs.sparkSession):
+        lowering = Lowering(store, plan, now)
+        return PqlResult(lowering.results(), plan, store, lowering)
 
 
 def validate(query: str, store: EventStore | None = None) -> list[PqlError]:

@@ -81,6 +81,10 @@ class Binding:
         return out + ([(f"{scope.letter}_attrs", F.col(self.attrs))] if self.attrs else [])
 
 
+def classifiers_in(header: dict) -> list[Classifier]:
+    return [Classifier(c["name"], tuple(c["keys"]), Scope.TRACE if c["scope"] == "trace" else Scope.EVENT) for c in header.get("classifiers") or []]
+
+
 @dataclass
 class EventStore:
     """Three levels joined by ids; orders are explicit columns, never row order.
@@ -92,7 +96,21 @@ class EventStore:
     levels: dict[Scope, DataFrame]
     bindings: dict[Scope, Binding]
     classifiers: list[Classifier] = field(default_factory=list)
-    header: dict = field(default_factory=dict)  # of the XES document: extensions, globals
+    headers: dict[str, dict] = field(default_factory=dict)  # by log id, of its XES document: extensions, classifiers, globals
+
+    @property
+    def header(self) -> dict:
+        """The first log's header."""
+        return next(iter(self.headers.values()), {})
+
+    def header_of(self, log_id: str) -> dict:
+        """A log's header; for groups of logs, which have no document of their own, the first log's."""
+        return self.headers.get(log_id, self.header)
+
+    def classifiers_of(self, log_id: str) -> list[Classifier]:
+        """The classifiers of a log's own document, or all where it has none."""
+        known = self.headers.get(log_id)
+        return classifiers_in(known) if known is not None else self.classifiers
 
     @property
     def logs(self) -> DataFrame:

@@ -22,7 +22,10 @@ def without(store: EventStore, query: str) -> tuple[EventStore, EventStore]:
     if plan.delete is None:
         raise ValueError("not a delete query")
     on = IDS[plan.delete]
-    gone = Lowering(store, Plan(where=plan.where)).members[plan.delete].select(*on)
+    from hierql.engine import utc
+
+    with utc(store.logs.sparkSession):
+        gone = Lowering(store, Plan(where=plan.where)).members[plan.delete].select(*on)
     kept, dropped = dict(store.levels), {}
     for scope in Scope:
         if scope >= plan.delete:

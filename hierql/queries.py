@@ -7,6 +7,7 @@ results are rounded on both sides.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,6 +19,11 @@ from hierql.functions.catalog import Scope
 from hierql.model import IDS
 from hierql.operators.delete import without
 from hierql.sources import adapters
+from hierql.sources.files import open_output, shared_file
+from hierql.sources.xes_json import to_json
+from hierql.sources.xes_reader import read_xes
+from hierql.sources.xes_writer import to_xes_each
+from hierql.store import Catalog
 
 STORES = {"clicks": adapters.clickstream, "orders": adapters.orders, "talks": adapters.dialogues, "texts": adapters.texts}
 
@@ -219,6 +225,60 @@ def rest(query: str, level: Scope):
     return run
 
 
+def through_xes(spark: SparkSession, store, compress: bool = True):
+    """A store whose logs are written as XES documents and read back, and the documents."""
+    paths = to_xes_each(execute(store, ""), shared_file(spark, "documents"), compress)
+    return read_xes(spark, paths), paths
+
+
+def xes_events(compress: bool):
+    """Events of dialogues that went through a XES document."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store, _ = through_xes(spark, adapters.dialogues(spark, sf_dir), compress)
+        found = execute(store, "select t:name, e:name, [e:text]").flat()
+        return found.select(F.col("t_concept_name").alias("trace"), F.col("e_concept_name").alias("role"), F.col("e_text").alias("text"))
+
+    return run
+
+
+def xes_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by a classifier that a XES document declares, over its typed values."""
+    store, _ = through_xes(spark, adapters.texts(spark, sf_dir))
+    found = execute(store, "select l:name, t:name, [e:quality], count(e:name) group by l:name, t:name, c:Quality").flat()
+    return found.select(F.col("l_concept_name").alias("log"), F.col("t_concept_name").alias("trace"), F.col("fn_3").alias("n"))
+
+
+def json_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of the JSON document of the dialogues' log, which is written and read back."""
+    path = shared_file(spark, "log.json")
+    with open_output(path) as out:
+        for document in to_json(execute(adapters.dialogues(spark, sf_dir), "select t:name, e:name")):
+            out.write(json.dumps(document).encode() + b"\n")
+    one = "struct<`@key`:string,`@value`:string>"
+    schema = f"log struct<trace:array<struct<string:{one},event:array<struct<string:{one}>>>>>"
+    trace = spark.read.schema(schema).json(path).select(F.explode("log.trace").alias("t"))
+    return trace.select(F.col("t.string.@value").alias("name"), F.size("t.event").cast("long").alias("n"), F.array_join(F.col("t.event.string.@value"), ">").alias("roles"))
+
+
+def catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a log that a catalog imported, and deleted some of."""
+    _, (path,) = through_xes(spark, adapters.dialogues(spark, sf_dir))
+    catalog = Catalog(spark, shared_file(spark, "catalog"))
+    store = catalog.create("talks")["id"]
+    log = catalog.import_xes(store, path)
+    catalog.delete("delete event where e:name = 'assistant'", store=store)
+    found = catalog.query("select t:name, e:name", log_id=log).flat()
+    return found.select(F.col("t_concept_name").alias("trace"), F.col("e_concept_name").alias("role"))
+
+
+def delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many components a delete query takes at each level."""
+    _, gone = without(adapters.orders(spark, sf_dir), "delete trace where t:total < 100000 and ^e:name = 'RF'")
+    counts = [gone.levels[s].agg(F.lit(s.label).alias("scope"), F.count(F.lit(1)).alias("n")) for s in Scope if s in gone.levels]
+    return counts[0].unionByName(counts[1]).where("n > 0")
+
+
 CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "s2_datastore_scan": (attached, ORDERS_SQL + "SELECT log_id AS name, count(e.n) AS n FROM t LEFT JOIN e USING (log_id, tid) WHERE log_id IN ('AUTOMOBILE', 'MACHINERY') GROUP BY log_id, tid"),
     "s19_log_statistics": (statistics, ORDERS_SQL + "SELECT log_id, (SELECT count(*) FROM t WHERE t.log_id = l.log_id) AS traces, (SELECT count(*) FROM e WHERE e.log_id = l.log_id) AS events FROM l"),
@@ -226,6 +286,12 @@ CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "o11_default_caps": (capped, CLICKS_SQL + "SELECT trace_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY ts, n) AS rn, dense_rank() OVER (ORDER BY tid) AS tn FROM e) WHERE rn <= 4 AND tn <= 30"),
     "m1_delete_events": (rest("delete where e:name = 'RF' or e:total > 80000", Scope.EVENT), ORDERS_SQL + "SELECT trace_id, event_id FROM e WHERE NOT (name = 'RF' OR total > 80000)"),
     "m1_delete_traces_cascades": (rest("delete trace where ^e:total > 90000 and t:total < 400000", Scope.EVENT), ORDERS_SQL + "SELECT trace_id, event_id FROM e WHERE tid NOT IN (SELECT e.tid FROM e JOIN t USING (tid) WHERE e.total > 90000 AND t.total < 400000)"),
+    "s9_xes_document": (xes_events(False), TALKS_SQL + "SELECT trace_id AS trace, name AS role, text FROM e"),
+    "s10_xes_gzip": (xes_events(True), TALKS_SQL + "SELECT trace_id AS trace, name AS role, text FROM e"),
+    "s13_xes_classifier": (xes_classifier, TEXTS_SQL + "SELECT log_id AS log, tid AS trace, count(*) AS n FROM e WHERE quality IS NOT NULL GROUP BY log_id, tid, quality"),
+    "k6_xes_json": (json_traces, TALKS_SQL + "SELECT trace_id AS name, count(*) AS n, string_agg(name, '>' ORDER BY n) AS roles FROM e GROUP BY trace_id"),
+    "m3_catalog_import_and_delete": (catalogued, TALKS_SQL + "SELECT trace_id AS trace, name AS role FROM e WHERE name <> 'assistant'"),
+    "m1_delete_counts": (delete_counts, ORDERS_SQL + ", d AS (SELECT tid FROM t WHERE total < 100000 AND tid IN (SELECT tid FROM e WHERE name = 'RF')) SELECT 'trace' AS scope, count(*) AS n FROM d UNION ALL SELECT 'event', count(*) FROM e WHERE tid IN (SELECT tid FROM d)"),
     "m1_delete_traces": (rest("delete trace where [t:o_orderstatus] = 'F'", Scope.TRACE), ORDERS_SQL + "SELECT trace_id FROM t WHERE o_orderstatus <> 'F'"),
 }
 

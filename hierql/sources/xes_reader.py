@@ -1,8 +1,10 @@
 """XES documents, plain or gzipped, as event stores.
 
-A document is parsed in one streaming pass by the worker that reads it; its
-rows of all three levels come out of that pass tagged by level.  Documents are the unit of work: many of
-them are read at once.
+A document is parsed in one streaming pass by the worker that reads it, which
+keeps one trace at most; its rows of all three levels come out of that pass
+tagged by level.  Documents are the unit of work: many of them are read at once.
+Small ones come through Spark's binary files, others are streamed from the file
+system.
 """
 
 from __future__ import annotations
@@ -12,14 +14,16 @@ import io
 import json
 import uuid
 from datetime import UTC, datetime
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hierql.functions.catalog import STANDARD, Scope
-from hierql.model import ATTRS, Binding, EventStore, physical
-from hierql.plans.compiler import Classifier
+from hierql.model import ATTRS, Binding, EventStore, classifiers_in, physical
+
+from .files import file_system, shared_file
 
 SCALARS = ("string", "date", "int", "float", "boolean", "id")
 #: Extensions whose attribute prefixes have a canonical spelling.
@@ -121,6 +125,7 @@ class Document:
     def rows(self):
         header = self.header
         open_tags: list[str] = []
+        elements: list[ElementTree.Element] = []
         own: list[ElementTree.Element] = []
         trace = event = -1
         seen_log = False
@@ -142,15 +147,17 @@ class Document:
                     elif tag in ("trace", "event", "log"):
                         raise XesError(f"{tag} stands inside {open_tags[-1]}")
                     open_tags.append(tag)
+                    elements.append(e)
                     continue
                 open_tags.pop()
+                elements.pop()
                 parent = open_tags[-1] if open_tags else None
                 if tag == "event" and parent == "trace":
                     yield Scope.EVENT, trace, event, self.attributes(e)
-                    e.clear()
+                    elements[-1].remove(e)
                 elif tag == "trace" and parent == "log":
-                    yield Scope.TRACE, trace, -1, self.attributes([c for c in e if local(c.tag) != "event"])
-                    e.clear()
+                    yield Scope.TRACE, trace, -1, self.attributes(e)
+                    elements[-1].remove(e)
                 elif parent == "log":
                     if tag == "extension":
                         header["extensions"].append({k: e.get(k) for k in ("name", "prefix", "uri")})
@@ -181,35 +188,81 @@ class Document:
 _TAGGED = "level int, log_id string, log_order long, trace long, event long, attrs map<string,struct<t:string,s:string,d:double,l:bigint,b:boolean,ts:timestamp,children:string>>, header string"
 
 
-def read_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tagged rows of all documents; a log's id is its file's name without suffixes."""
+#: Bytes up to which a document is read as one value.
+WHOLE_BYTES = 64 << 20
+
+
+def bare(path: str) -> str:
+    """A local path without its scheme, other paths as they are."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def log_ids(files: list[str]) -> dict[str, str]:
+    """A log's id is its file's name without suffixes; where names repeat, its path below their common folder."""
+
+    def stem(path: str) -> str:
+        for suffix in (".gz", ".xes", ".xml"):
+            path = path.removesuffix(suffix)
+        return path
+
+    short = {f: stem(f.rpartition("/")[2]) for f in files}
+    if len(set(short.values())) < len(files):
+        folders = [f.split("/")[:-1] for f in files]
+        common = 0
+        while all(len(p) > common and p[common] == folders[0][common] for p in folders):
+            common += 1
+        short = {f: stem("/".join(f.split("/")[common:])) for f in files}
+    if len(set(short.values())) < len(files):
+        raise XesError("documents with the same path and different suffixes have no ids of their own")
+    return short
+
+
+def listed(files: DataFrame, paths: list[str]) -> list[str]:
+    """The documents of a frame of files: in the order of the given paths, then by name."""
+    found = sorted({bare(unquote(f)) for f in files.inputFiles()})
+    given = [bare(p).rstrip("/") for p in paths]
+    place = lambda f: next((i for i, p in enumerate(given) if f == p or f.startswith(p + "/")), len(given))
+    return sorted(found, key=lambda f: (place(f), f))
+
+
+def read_rows(spark: SparkSession, paths: list[str], whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Tagged rows of all documents; see ``log_ids`` for the logs' ids."""
     files = spark.read.format("binaryFile").load(paths)
-    order = {p: i for i, p in enumerate(paths)}
+    documents = listed(files, paths)
+    ids, order = log_ids(documents), {f: i for i, f in enumerate(documents)}
 
-    def run(batches):
+    def parse(path: str, stream):
         import pandas as pd
 
+        document, rows = Document(stream), []
+        name, place = ids[bare(path)], order[bare(path)]
+        for scope, trace, event, attributes in document.rows():
+            header = None
+            if scope == Scope.LOG:
+                header = json.dumps(document.header, default=str)
+                for key, canonical in (("version", "xes:version"), ("features", "xes:features")):
+                    if document.header[key] is not None:
+                        attributes.setdefault(canonical, typed("string", document.header[key]))
+            rows.append((int(scope), name, place, trace, event, attributes, header))
+            if len(rows) >= 5000:
+                yield pd.DataFrame(rows, columns=_NAMES)
+                rows = []
+        yield pd.DataFrame(rows, columns=_NAMES)
+
+    def whole(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = path.rpartition("/")[2]
-                for suffix in (".gz", ".xes", ".xml"):
-                    name = name.removesuffix(suffix)
-                place = next((i for p, i in order.items() if path.endswith(p.removeprefix("file:"))), 0)
-                document, rows = Document(io.BytesIO(content)), []
-                for scope, trace, event, attributes in document.rows():
-                    header = None
-                    if scope == Scope.LOG:
-                        header = json.dumps(document.header, default=str)
-                        for key, canonical in (("version", "xes:version"), ("features", "xes:features")):
-                            if document.header[key] is not None:
-                                attributes.setdefault(canonical, typed("string", document.header[key]))
-                    rows.append((int(scope), name, place, trace, event, attributes, header))
-                    if len(rows) >= 5000:
-                        yield pd.DataFrame(rows, columns=_NAMES)
-                        rows = []
-                yield pd.DataFrame(rows, columns=_NAMES)
+                yield from parse(path, io.BytesIO(content))
+
+    def streamed(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                system, place = file_system(path)
+                with system.open_input_stream(place, compression=None, buffer_size=1 << 20) as stream:
+                    yield from parse(path, io.BufferedReader(stream))
 
-    return files.select("path", "content").mapInPandas(run, _TAGGED)
+    small = files.where(F.col("length") <= whole_bytes).select("path", "content").mapInPandas(whole, _TAGGED)
+    return small.unionByName(files.where(F.col("length") > whole_bytes).select("path").mapInPandas(streamed, _TAGGED))
 
 
 _NAMES = [f.split()[0] for f in ("level int", "log_id string", "log_order long", "trace long", "event long", "attrs map", "header string")]
@@ -244,22 +297,22 @@ def store_of(rows: DataFrame, headers: list[tuple[str, dict]]) -> EventStore:
         rest = custom_only(list(columns))
         levels[scope] = own.select(*ids, *[c.alias(physical(n)) for n, c in columns.items()], rest.cast(ATTRS).alias("attrs"))
         bindings[scope] = Binding({n: physical(n) for n in columns}, {}, "attrs")
-    classifiers = [Classifier(c["name"], tuple(c["keys"]), Scope.TRACE if c["scope"] == "trace" else Scope.EVENT) for _, h in headers for c in h["classifiers"]]
-    return EventStore(levels, bindings, classifiers, headers[0][1] if headers else {})
+    classifiers = [c for _, h in headers for c in classifiers_in(h)]
+    return EventStore(levels, bindings, classifiers, dict(headers))
 
 
 def read_xes(spark: SparkSession, paths: str | list[str], cache_to: str | None = None) -> EventStore:
     """The logs of XES documents.
 
-    With ``cache_to`` the parsed rows are written there as Parquet, so that
-    later queries do not parse again.
+    Documents are parsed once: their rows are written as Parquet to
+    ``cache_to``, or else to the folder that driver and executors share.
     """
     from hierql.sources.shipping import ship
 
     ship(spark)
     rows = read_rows(spark, [paths] if isinstance(paths, str) else list(paths))
-    if cache_to:
-        rows.write.mode("overwrite").partitionBy("level").parquet(cache_to)
-        rows = spark.read.schema(rows.schema).parquet(cache_to)
+    cache_to = cache_to or shared_file(spark, "xes-rows")
+    rows.write.mode("overwrite").partitionBy("level").parquet(cache_to)
+    rows = spark.read.schema(rows.schema).parquet(cache_to)
     headers = [(r.log_id, json.loads(r.header)) for r in rows.where("header IS NOT NULL").select("log_id", "header", "log_order").orderBy("log_order", "log_id").collect()]
     return store_of(rows, headers)

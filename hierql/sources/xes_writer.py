@@ -6,17 +6,21 @@ import gzip
 import io
 import json
 import zipfile
+from contextlib import contextmanager, nullcontext
 from datetime import UTC, date, datetime
 from typing import Any
+from urllib.parse import quote as quote_path
 from xml.sax.saxutils import quoteattr
 
 from hierql.engine import PqlResult
 
-from .rendering import Component, Value, logs
+from .files import open_output
+from .rendering import Component, Log, Value, logs
 from .xes_reader import CANONICAL
 
 #: Extensions of a log that names none.
 DEFAULT_EXTENSIONS = [(name, prefix, f"http://www.xes-standard.org/{prefix}.xesext") for name, prefix in CANONICAL.items()]
+DECLARATION = '<?xml version="1.0" encoding="UTF-8" ?>\n'
 LOG_OPEN = '<log xes.version="1.0" xes.features="nested-attributes" xmlns="http://www.xes-standard.org/">\n'
 _ILLEGAL = dict.fromkeys([*range(9), 11, 12, *range(14, 32), 0xFFFE, 0xFFFF])
 
@@ -82,57 +86,102 @@ def tag_of_json(value: Any) -> str:
 
 
 def write_xes(result: PqlResult, out, log_name: str = "log", traces: bool = True, events: bool = True) -> None:
-    """Write the result's logs to a text stream, trace by trace."""
-    out.write('<?xml version="1.0" encoding="UTF-8" ?>\n')
-    header = result.store.header
-    emit = Emitter(out, header.get("extensions") or [])
-    extensions = [(e["name"], e["prefix"], e["uri"]) for e in header.get("extensions") or []] or DEFAULT_EXTENSIONS
+    """Write the result's logs to a text stream, trace by trace, each with the header of its own document.
+
+    Several logs follow each other in it; ``to_xes_each`` gives each a document of its own.
+    """
+    out.write(DECLARATION)
     empty = True
     for log in logs(result, traces, events):
         empty = False
-        out.write(LOG_OPEN)
-        write_extensions(out, extensions)
-        for scope in ("trace", "event"):
-            own = [g for g in header.get("globals") or [] if g["scope"] == scope]
-            if own:
-                out.write(f'\t<global scope="{scope}">\n')
-                for g in own:
-                    value = next((g["value"][k] for k in ("s", "l", "d", "b", "ts") if g["value"][k] is not None), None)
-                    emit.attribute(g["key"], Value(g["value"]["t"], value), "\t\t")
-                out.write("\t</global>\n")
-        for c in result.store.classifiers:
-            out.write(f'\t<classifier name={quote(c.name)} scope="{c.scope.label}" keys={quote(" ".join(c.keys))}/>\n')
-        own = {k: v for k, v in log.own.attributes.items() if k not in ("xes:version", "xes:features")}
-        own.setdefault("concept:name", Value("string", log_name))
-        emit.all(Component(own), "\t")
-        for trace, found, nulls in log.traces:
-            out.write("\t<trace>\n")
-            emit.all(trace, "\t\t")
-            for e in found:
-                out.write("\t\t<event>\n")
-                emit.all(e, "\t\t\t")
-                out.write("\t\t</event>\n")
-            out.write("\t\t<event/>\n" * nulls + "\t</trace>\n")
-        out.write("</log>\n")
+        write_log(result, log, out, log_name)
     if empty:
+        emit, extensions = opened(result.store.header, out)
         out.write(LOG_OPEN)
         write_extensions(out, extensions)
         emit.attribute("concept:name", Value("string", log_name), "\t")
         out.write("</log>\n")
 
 
+def opened(header: dict, out) -> tuple[Emitter, list]:
+    """What writes attributes under a header, and the header's extensions."""
+    extensions = [(e["name"], e["prefix"], e["uri"]) for e in header.get("extensions") or []] or DEFAULT_EXTENSIONS
+    return Emitter(out, header.get("extensions") or []), extensions
+
+
+def write_log(result: PqlResult, log: Log, out, log_name: str) -> None:
+    header = result.store.header_of(log.log_id)
+    emit, extensions = opened(header, out)
+    out.write(LOG_OPEN)
+    write_extensions(out, extensions)
+    for scope in ("trace", "event"):
+        own = [g for g in header.get("globals") or [] if g["scope"] == scope]
+        if own:
+            out.write(f'\t<global scope="{scope}">\n')
+            for g in own:
+                value = next((g["value"][k] for k in ("s", "l", "d", "b", "ts") if g["value"][k] is not None), None)
+                emit.attribute(g["key"], Value(g["value"]["t"], value), "\t\t")
+            out.write("\t</global>\n")
+    for c in result.store.classifiers_of(log.log_id):
+        out.write(f'\t<classifier name={quote(c.name)} scope="{c.scope.label}" keys={quote(" ".join(c.keys))}/>\n')
+    own = {k: v for k, v in log.own.attributes.items() if k not in ("xes:version", "xes:features")}
+    own.setdefault("concept:name", Value("string", log_name))
+    emit.all(Component(own), "\t")
+    for trace, found, nulls in log.traces:
+        out.write("\t<trace>\n")
+        emit.all(trace, "\t\t")
+        for e in found:
+            out.write("\t\t<event>\n")
+            emit.all(e, "\t\t\t")
+            out.write("\t\t</event>\n")
+        out.write("\t\t<event/>\n" * nulls + "\t</trace>\n")
+    out.write("</log>\n")
+
+
 def write_extensions(out, extensions) -> None:
     for name, prefix, uri in extensions:
         out.write(f"\t<extension name={quote(name or '')} prefix={quote(prefix or '')} uri={quote(uri or '')}/>\n")
 
 
+@contextmanager
+def text_output(path: str, compress: bool):
+    """A text stream to a file, local or at a URI, gzipped if asked to."""
+    with open_output(path) as raw, gzip.GzipFile(fileobj=raw, mode="wb") if compress else nullcontext(raw) as packed, io.TextIOWrapper(io.BufferedWriter(Unclosed(packed), 1 << 20), "utf-8", newline="\n") as out:
+        yield out
+
+
 def to_xes(result: PqlResult, path: str, compress: bool = False, log_name: str = "log") -> None:
-    """Write a document to a local file, gzipped if asked to."""
-    with (gzip.open(path, "wt", encoding="utf-8", newline="\n") if compress else open(path, "w", encoding="utf-8", newline="\n")) as out:
+    """Write a document."""
+    with text_output(path, compress) as out:
         write_xes(result, out, log_name)
 
 
+def to_xes_each(result: PqlResult, folder: str, compress: bool = False, log_name: str = "log") -> list[str]:
+    """Write a document for every log, named by the log's id; the documents' paths."""
+    paths = []
+    for log in logs(result):
+        paths.append(f"{folder.rstrip('/')}/{quote_path(log.log_id, safe='')}.xes{'.gz' * compress}")
+        with text_output(paths[-1], compress) as out:
+            out.write(DECLARATION)
+            write_log(result, log, out, log_name)
+    return paths
+
+
+class Unclosed(io.RawIOBase):
+    """A stream that another one writes through without closing it."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.stream.write(bytes(data))
+        return len(data)
+
+
 def to_zip(result: PqlResult, path: str, log_name: str = "log") -> None:
     """Write a zip archive with the single entry ``xes.xml``."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("xes.xml", "w") as raw, io.TextIOWrapper(raw, "utf-8", newline="\n") as out:
+    with open_output(path) as raw, zipfile.ZipFile(Unclosed(raw), "w", zipfile.ZIP_DEFLATED) as archive, archive.open("xes.xml", "w") as entry, io.TextIOWrapper(entry, "utf-8", newline="\n") as out:
         write_xes(result, out, log_name)

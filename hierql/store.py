@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from hierql.engine import DEFAULT_LIMITS, PqlResult, execute
 from hierql.functions.catalog import Scope
 from hierql.model import EventStore
-from hierql.operators.delete import delete as delete_components
+from hierql.operators.delete import without
+from hierql.plans.compiler import compile_query
 from hierql.sources.shipping import ship
 from hierql.sources.xes_reader import read_rows, store_of
 
 
+def min_scope(pql: str, store: EventStore) -> Scope:
+    """The scope that a delete query deletes."""
+    return compile_query(pql, store.classifiers).delete
+
+
 class Catalog:
     """Data stores and logs.
 
@@ -138,15 +144,20 @@ class Catalog:
     def delete(self, pql: str, store: str | None = None, log_id: str | None = None) -> int:
         """Run a delete query; the number of deleted components."""
         before = self.event_store(store, log_id)
-        after, counts = delete_components(before, pql)
-        if not sum(counts.values()):
+        after, gone = without(before, pql)
+        counts = {scope: rows.groupBy("log_id").count() for scope, rows in gone.levels.items() if scope >= min_scope(pql, before)}
+        total, touched, lost = 0, set(), set()
+        for scope, rows in counts.items():
+            for r in rows.collect():  # a row per log
+                total += r["count"]
+                (lost if scope == Scope.LOG else touched).add(r.log_id)
+        if not total:
             return 0
-        state = self._load()
-        kept = {r.log_id for r in after.logs.select("log_id").collect()}
-        for log in [r.log_id for r in before.logs.select("log_id").collect()]:
-            if log not in kept:
-                self._drop(state, log)
-                continue
+        state, old = self._load(), []
+        for log in lost:
+            self._drop(state, log)
+            old.append(f"logs/{log}")
+        for log in sorted(touched - lost):
             rows = self._rows([state["logs"][log]])
             trace_id = F.concat_ws("-trace-", "log_id", "trace")
             keep_traces = after.traces.where(F.col("log_id") == log).select(F.col("trace_order").alias("trace"))
@@ -156,11 +167,15 @@ class Catalog:
                 rows.where("level = 1").join(keep_traces, "trace", "left_semi"),
                 rows.where("level = 2").withColumn("trace_id", trace_id).join(keep_events, ["trace_id", "event"], "left_semi").drop("trace_id"),
             ]
-            version = uuid.uuid4().hex
+            version, entry = uuid.uuid4().hex, state["logs"][log]
             parts[0].unionByName(parts[1]).unionByName(parts[2]).write.parquet(f"{self.root}/logs/{log}/{version}")
-            state["logs"][log] |= {"version": version, "updated": self._now()}
+            if entry.get("previous"):
+                old.append(f"logs/{log}/{entry['previous']}")
+            entry |= {"version": version, "previous": entry["version"], "updated": self._now()}
         self._save(state)
-        return sum(counts.values())
+        for path in old:  # the version before stays for readers that began with it
+            self._fs().delete(self._path(path), True)
+        return total
 
     @staticmethod
     def _drop(state: dict, log_id: str) -> None:

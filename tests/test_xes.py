@@ -7,12 +7,15 @@ import zipfile
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from hierql.engine import execute
+from hierql.compare import Match, compare
+from hierql.engine import DEFAULT_LIMITS, execute
 from hierql.functions.catalog import Scope
 from hierql.operators.delete import delete
+from hierql.sources.samples import load_sample, samples
 from hierql.sources.xes_json import to_json
-from hierql.sources.xes_reader import Document, XesError, read_xes, typed
+from hierql.sources.xes_reader import Document, XesError, read_rows, read_xes, typed
 from hierql.sources.xes_writer import to_xes, to_zip, write_xes
 from hierql.store import Catalog
 
@@ -117,6 +120,86 @@ def test_extension_prefixes_and_empty_events_are_written(store):
     assert '<string key="con:name" value="nothing"/>' in out.getvalue() and 'prefix="con"' in out.getvalue()
 
 
+def test_documents_of_one_name_stay_apart(spark, tmp_path):
+    other = DOCUMENT.replace('prefix="con"', 'prefix="concept"').replace("con:name", "concept:name").replace('keys="concept:name"', 'keys="time:timestamp"').replace('name="Activity"', 'name="When"')
+    for folder, text in (("a", DOCUMENT), ("b", other)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "log.xes").write_text(text)
+    paths = [str(tmp_path / "b" / "log.xes"), str(tmp_path / "a" / "log.xes")]
+    for whole_bytes in (1 << 20, 0):  # read as values, and streamed
+        rows = read_rows(spark, paths, whole_bytes).where("level = 2").select("log_id", "log_order").collect()
+        assert sorted(map(tuple, rows)) == [("a/log", 1)] * 4 + [("b/log", 0)] * 4
+    both = read_xes(spark, paths)
+    assert execute(both, "select l:name, t:name, e:name").flat().count() == 8
+    out = io.StringIO()
+    write_xes(execute(both, "select *"), out)
+    first, second = out.getvalue().split("</log>")[:2]
+    assert 'prefix="concept"' in first and 'name="When"' in first and "con:name" not in first
+    assert 'prefix="con"' in second and 'name="Activity"' in second and 'name="When"' not in second
+    (tmp_path / "b" / "log.xes.gz").write_bytes(gzip.compress(other.encode()))
+    with pytest.raises(XesError):
+        read_xes(spark, [*paths, str(tmp_path / "b" / "log.xes.gz")])
+
+
+def test_one_trace_is_held_at_a_time():
+    trace = '<trace><string key="a" value="b"/>' + '<event><string key="a" value="b"/></event>' * 20 + "</trace>"
+    import tracemalloc
+
+    def peak(n):
+        data = io.BytesIO(f"<log>{trace * n}</log>".encode())
+        tracemalloc.start()
+        count = sum(1 for _ in Document(data).rows())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == 21 * n + 1
+        return most
+
+    assert peak(2_000) < peak(20) + 1_000_000
+
+
+def test_comparison_of_results(store):
+    whole = list(to_json(execute(store, "")))
+    assert compare(whole, list(to_json(execute(store, "")))).match is Match.EQUAL
+    turned = list(to_json(execute(store, "select * order by t:name desc, e:name desc")))
+    assert compare(whole, turned).match is Match.DIFFERENT and not compare(whole, turned) and compare(whole, turned).differences
+    assert compare(whole, turned, order_is_open=True).match is Match.REORDERED
+    fewer = list(to_json(execute(store, "limit t:1")))
+    assert compare(whole, fewer, window_is_open=True).match is Match.CUT_AMONG_EQUALS and compare(fewer, whole, window_is_open=True)
+    assert compare(whole, fewer).differences == ["log 1: 2 and 1 traces"]
+    a, b = ([{"log": {"float": {"@key": "x", "@value": v}, "id": {"@key": "i", "@value": v}, "trace": t}}] for v, t in (("0.1", {"event": None}), ("0.10000000000001", [{"event": []}])))
+    assert compare(a, b).match is Match.EQUAL
+    assert compare(a, [{"log": {"string": {"@key": "x", "@value": "0.1"}}}]).match is Match.DIFFERENT
+
+
+def test_samples(spark):
+    assert {s["name"] for s in samples()} >= {"small", "long"} and all(s["description"] for s in samples())
+    assert load_sample(spark, "small").events.count() == 1_000
+    with pytest.raises(KeyError):
+        load_sample(spark, "none")
+
+
+def test_results_do_not_depend_on_the_time_zone(spark, store):
+    query = "select hour(e:timestamp), date(e:timestamp) where e:timestamp >= D2024-01-01T09:30"
+    before = [tuple(r) for r in execute(store, query).events.select("fn_0", F.col("fn_1").cast("string")).collect()]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        found = execute(store, query).events
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+        assert [tuple(r) for r in found.select("fn_0", F.col("fn_1").cast("string")).collect()] == before and len(before) == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_fan_out_ignores_the_cap_on_logs(spark, tmp_path):
+    for n in range(12):
+        (tmp_path / f"l{n:02}.xes").write_text(DOCUMENT)
+    many = read_xes(spark, str(tmp_path))
+    assert execute(many, "select l:name", limits=DEFAULT_LIMITS).logs.count() == 10
+    assert execute(many, "select l:name, t:name, c:Activity", limits=DEFAULT_LIMITS).logs.count() == 10
+    assert execute(many, "select l:name, t:name, c:Activity", limits=DEFAULT_LIMITS, fan_out=True).logs.count() == 12
+    assert execute(many, "limit l:3", limits=DEFAULT_LIMITS, fan_out=True).logs.count() == 3
+
+
 def test_zip(store, tmp_path):
     to_zip(execute(store, "limit e:1"), str(tmp_path / "x.zip"))
     with zipfile.ZipFile(tmp_path / "x.zip") as archive:
