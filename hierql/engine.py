@@ -43,7 +43,11 @@ class PqlResult:
 
     def placeholders(self) -> DataFrame:
         """Traces with ``_null_event_count``: how many empty events stand for those that the query does not show."""
-        return self.traces.join(self.lowering.null_events(), IDS[Scope.TRACE])
+        if "_null_event_count" in self.traces.columns:
+            return self.traces
+        if self.shown(Scope.EVENT):
+            return self.traces.withColumn("_null_event_count", F.lit(0).cast("long"))
+        return self.traces.join(self.lowering.null_events(self.traces.select(*IDS[Scope.TRACE])), IDS[Scope.TRACE])
 
     def names(self, scope: Scope) -> dict[str, str]:
         """Output column -> canonical text of its expression."""
@@ -59,15 +63,17 @@ class PqlResult:
         for s in range(deepest - 1, -1, -1):
             scope = Scope(s)
             above = self.levels[scope].frame
-            above = above.drop("_trace_count").withColumnRenamed("_pos", f"_{scope.letter}_pos")
+            above = above.drop("_trace_count", "_null_event_count").withColumnRenamed("_pos", f"_{scope.letter}_pos")
             out = out.join(above, IDS[scope])
         return out
 
     def trace_rows(self, events: bool = True) -> DataFrame:
         """Traces, each with its ``events`` in order."""
-        below = self.placeholders() if events and not self.shown(Scope.EVENT) else self.traces
         if not events:
-            return below
+            return self.traces.drop("_null_event_count")
+        if not self.shown(Scope.EVENT):  # empty events stand for those that the query does not show
+            return self.placeholders().withColumn("events", F.lit(None).cast("array<struct<_pos:bigint>>")).withColumn("events", F.coalesce("events", F.array()))
+        below = self.traces
         own = self.events
         item = F.struct("_pos", *[c for c in own.columns if c not in ("_pos", "log_id", "trace_id")])
         lists = self._sorted(own, IDS[Scope.TRACE], item, "events")

@@ -56,6 +56,7 @@ class Lowering:
         self.base = {s: self.level(s) for s in Scope}
         self.members = self.find_members()
         self.kinds = self.group_kinds()
+        self.counted: str | None = None  # column of map(TRACE) with the number of a trace's member events, if it has one
         self.maps: dict[Scope, DataFrame] = {}
 
     # -- binding --
@@ -175,7 +176,11 @@ class Lowering:
         if kind == "position":
             keys = [ordering(self.render(e), desc) for s, e, desc in self.order_by if s == scope and not has_aggregate(e) and all(b.attribute.base == scope for b in bounds(e))]
             position = F.row_number().over(W.partitionBy(*IDS[scope][:-1]).orderBy(*keys, ORDERS[scope]))
-            return rows.withColumn(own, position.cast("string"))
+            rows = rows.withColumn("_place", position)
+            if scope in self.plan.limits and not any(s == scope for s, _, _ in self.order_by):
+                # Groups come in order of their places, so those beyond the window are not formed.
+                rows = rows.where(F.col("_place") <= self.plan.offsets.get(scope, 0) + self.plan.limits[scope])
+            return rows.withColumn(own, F.col("_place").cast("string")).drop("_place")
         values: list[Column] = []
         for n, (key, parts) in enumerate((k, p) for k, p in self.keys if k.scope == scope):
             if key.hoisted:
@@ -189,26 +194,36 @@ class Lowering:
         return rows.withColumn(own, F.md5(F.concat(*[measured(v) for v in values]).cast("binary")))
 
     def with_sequence(self, rows: DataFrame, scope: Scope, key: Attribute, parts: list[Bound], name: str) -> tuple[DataFrame, Column]:
-        """Rows with the sequence of a descendant attribute's values over their members.
+        """Rows with a digest of the sequence of a descendant attribute's values over their members.
 
         Values come in order of position, or sorted if the query orders by the
         same attribute.  Nulls stay in the sequence.  A row without descendants has an
         empty one; it goes if the query shows values of that level.
+
+        A sequence is the set of its (position, value) pairs, a sorted one the
+        multiset of its values, so its digest is an exclusive or of hashes: no
+        sequence is ever put together, and a log's is added up from its traces.
         """
         ids, members = IDS[scope], self.members[key.base]
         value = F.concat_ws("\x1f", *[F.coalesce(F.col(p.column).cast("string"), F.lit("")) for p in parts]) if key.kind == "classifier" else F.col(parts[0].column)
-        orders = [F.col(ORDERS[key.base])]
-        if key.base - scope == 2:
-            members = members.join(self.base[TRACE].select(*IDS[TRACE], "trace_order"), IDS[TRACE])
-            orders.insert(0, F.col("trace_order"))
-        sorted_by = [desc for _, e, desc in self.order_by if isinstance(e, Bound) and e.attribute.base == key.base and e.attribute.name == key.name]
-        if sorted_by:
-            orders = [value.isNull(), value, *orders]
-        item = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(orders)], value.alias("v"))
-        sequences = members.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
+        if any(isinstance(e, Bound) and e.attribute.base == key.base and e.attribute.name == key.name for _, e, _ in self.order_by):
+            pairs = members.groupBy(*ids, value.alias("_v")).agg(F.count(F.lit(1)).alias("_p"))
+            size = F.sum("_p")
+        else:
+            own = W.partitionBy(*IDS[key.base][:-1]).orderBy(ORDERS[key.base])
+            pairs = members.select(*IDS[key.base][:-1], value.alias("_v"), F.row_number().over(own).cast("long").alias("_p"))
+            size = F.count(F.lit(1))
+            if key.base - scope == 2:
+                counts = members.groupBy(*IDS[TRACE]).agg(F.count(F.lit(1)).alias("_n")).join(self.base[TRACE].select(*IDS[TRACE], "trace_order"), IDS[TRACE])
+                before = F.sum("_n").over(W.partitionBy(*ids).orderBy("trace_order").rowsBetween(W.unboundedPreceding, -1))
+                pairs = pairs.join(counts.select(*IDS[TRACE], F.coalesce(before, F.lit(0)).alias("_b")), IDS[TRACE]).withColumn("_p", F.col("_p") + F.col("_b"))
+        hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "_p", F.col("_v").isNull(), "_v")).cast("string") for seed in (1, 2)]
+        digests = pairs.groupBy(*ids).agg(size.alias(f"{name}_n"), F.concat_ws(":", size.cast("string"), *hashes).alias(name))
         shown = any(c.scope == key.base for c, _ in self.columns)
-        rows = rows.join(sequences, ids, "inner" if shown else "left")
-        return rows, F.coalesce(spelled(name), F.lit(""))
+        if scope == TRACE and key.base == EVENT:
+            self.counted = f"{name}_n"
+        rows = rows.join(digests, ids, "inner" if shown else "left")
+        return rows, F.coalesce(F.col(name), F.lit(""))
 
     # -- aggregates --
 
@@ -265,6 +280,8 @@ class Lowering:
             columns = [F.min_by(c, first).alias(c) for c in dict.fromkeys([*(b.column for b in plain), *stars])]
             source = self.with_parents(rows, scope, plain_tuple([a.argument for a, _ in here]))
             counts = [F.count(F.lit(1)).alias("_count")]
+            if scope == TRACE and self.counted:
+                counts.append(F.coalesce(F.max(self.counted), F.lit(0)).alias("_events"))
             frame = source.groupBy(*groups).agg(F.min(first).alias("_first"), *counts, *columns, *[self.aggregated(a).alias(n) for a, n in here])
         else:
             frame = rows.select(*groups, F.struct(*orders).alias("_first"), F.lit(1).cast("long").alias("_count"), *dict.fromkeys([*(b.column for b in plain), *stars]))
@@ -307,13 +324,21 @@ class Lowering:
     def results(self) -> dict[Scope, LevelResult]:
         out: dict[Scope, LevelResult] = {}
         kept: DataFrame | None = None
+        ranking: tuple | None = None
         for scope in Scope:
-            frame, names, keys = self.spine(scope, kept)
+            if ranking is not None and scope == ranking[0]:
+                frame, names, keys = ranking[1]  # the same plan as in the logs' ranks, so Spark computes it once
+                frame = frame.join(kept, kept.columns, "left_semi") if kept is not None else frame
+            else:
+                frame, names, keys = self.spine(scope, kept)
             if scope == LOG and (child := self.log_keys()) is not None:
-                below, _, child_keys = self.spine(child)
+                below = self.spine(child)
+                if child == TRACE:
+                    ranking = (child, below)
+                child_keys = below[2]
                 ranked = [c.alias(f"rank{i}") for i, (c, _) in enumerate(child_keys)]
-                best = W.partitionBy("lg").orderBy(*[ordering(c, d) for c, d in child_keys], "_first")
-                first = below.select("lg", *ranked, F.row_number().over(best).alias("n")).where("n = 1").drop("n")
+                best = W.partitionBy("lg").orderBy(*[ordering(F.col(f"rank{i}"), d) for i, (_, d) in enumerate(child_keys)], "_first")
+                first = below[0].select("lg", "_first", *ranked).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "_first")
                 frame = frame.join(first, "lg", "left")
                 keys = [(F.col(f"rank{i}"), d) for i, (_, d) in enumerate(child_keys)]
             frame = self.windowed(scope, frame, keys)
@@ -334,23 +359,39 @@ class Lowering:
                 columns.append(self.render(e, lambda a: F.col(names[a, False])).alias(c.alias))
                 texts[c.alias] = c.text
         extra = [F.col("_count").alias("_trace_count")] if scope == TRACE else []
+        if "_events" in frame.columns:
+            extra.append(self.placeholders_of(F.col("_events")).alias("_null_event_count"))
         return LevelResult(frame.select(*ids, "_pos", *columns, *extra), texts)
 
     def shows(self, scope: Scope) -> bool:
         return scope in self.plan.stars or any(c.scope == scope for c, _ in self.columns)
 
-    def null_events(self) -> DataFrame:
-        """(log_id, trace_id, _null_event_count) of the trace groups.
+    def placeholders_of(self, most: Column) -> Column:
+        """How many empty events stand for those of a group whose longest trace has so many."""
+        if self.shows(EVENT):
+            return F.lit(0).cast("long")
+        left = F.greatest(most - self.plan.offsets.get(EVENT, 0), F.lit(0))
+        limit = self.plan.limits.get(EVENT)
+        return (left if limit is None else F.least(left, F.lit(limit))).cast("long")
+
+    def null_events(self, kept: DataFrame | None = None) -> DataFrame:
+        """(log_id, trace_id, _null_event_count) of the trace groups, or of the ``kept`` ones.
 
         That is the number of events to show as empty ones where the query
         shows none: the most that a trace of the group has, windowed.
         """
-        counts = self.members[EVENT].groupBy(*IDS[TRACE]).agg(F.count(F.lit(1)).alias("n"))
-        groups = self.map(TRACE).select(*IDS[TRACE], "lg", "tg").join(counts, IDS[TRACE], "left")
-        offset, limit = self.plan.offsets.get(EVENT, 0), self.plan.limits.get(EVENT)
-        left = F.greatest(F.coalesce(F.max("n"), F.lit(0)) - offset, F.lit(0))
-        shown = F.lit(0).cast("long") if self.shows(EVENT) else F.least(left, F.lit(limit)) if limit is not None else left
-        return groups.groupBy("lg", "tg").agg(shown.alias("_null_event_count")).select(F.col("lg").alias("log_id"), F.col("tg").alias("trace_id"), "_null_event_count")
+        groups = self.map(TRACE).select(*IDS[TRACE], "lg", "tg")
+        events = self.members[EVENT].select(*IDS[TRACE])
+        if kept is not None:
+            wanted = kept.select(F.col("log_id").alias("lg"), F.col("trace_id").alias("tg"))
+            groups = groups.join(wanted, ["lg", "tg"], "left_semi")
+            if not any(kind in ("keys", "all", "position") for kind in (self.kinds[LOG], self.kinds[TRACE])):
+                events = events.join(kept.select(*IDS[TRACE]), IDS[TRACE], "left_semi")
+            elif self.kinds[LOG] == "each":
+                events = events.join(kept.select("log_id").distinct(), "log_id", "left_semi")
+        counts = events.groupBy(*IDS[TRACE]).agg(F.count(F.lit(1)).alias("n"))
+        most = groups.join(counts, IDS[TRACE], "left").groupBy("lg", "tg").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+        return most.select(F.col("lg").alias("log_id"), F.col("tg").alias("trace_id"), self.placeholders_of(F.col("n")).alias("_null_event_count"))
 
 
 def measured(value: Column) -> Column:
@@ -359,11 +400,6 @@ def measured(value: Column) -> Column:
     return F.when(value.isNull(), "n").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
 
 
-def spelled(sequence: str) -> Column:
-    """The text of a sequence, nulls and all."""
-    return F.array_join(F.transform(sequence, measured), ",")
-
-
 def a_scope(a: Aggregate) -> Scope:
     return a.prefix if a.prefix is not None else a.argument.attribute.scope
 
