@@ -127,6 +127,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded_rows(rows: DataFrame, bound: int, id_col: str = "id") -> DataFrame:
+    """At most ``bound`` rows, of the first ids by md5; an id whose rows would go beyond the bound is passed over.
+
+    Ids are counted, texts stay where they are: at most ``bound`` ids come to the
+    driver and are broadcast.
+    """
+    counts = rows.groupBy(id_col).count().orderBy(F.md5(F.col(id_col).cast("string").cast("binary"))).limit(bound).collect()
+    taken, total = [], 0
+    for r in counts:
+        if total + r["count"] <= bound:
+            taken.append((r[id_col],))
+            total += r["count"]
+    ids = rows.sparkSession.createDataFrame(taken, rows.select(id_col).schema)
+    return rows.join(F.broadcast(ids), id_col)
+
+
 def prefixed(fields, prefix: str):
     """Fields with a prefix before their names."""
     from pyspark.sql import types as T

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charlm
-from .common import annotate, fold, materialize, mix64, prefixed, prepare
+from .common import annotate, bounded_rows, fold, materialize, mix64, prefixed, prepare
 
 #: Letters that a symbol may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "#": "h"}
@@ -264,8 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
     The classifier sees at most ``labelled_rows`` of them, the first by md5 of
     the id.  Rows with a null text count as empty texts, null labels are
-    ignored, of repeated labels the largest counts, of repeated ids the first
-    text.  Features are counted by Spark; the driver gets those chosen, of these
+    ignored, of repeated labels the largest counts, of repeated ids one row (and
+    none of ids with more rows than the bound has left).  Features are counted by Spark; the driver gets those chosen, of these
     rows.  Without any toxic or any clean row every text gets the same low score.
     """
     spark = docs.sparkSession
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     model = ToxicityModel(chars, uuid.uuid4().hex, threshold=threshold)
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(fold("id") != 1)
     marks = marks.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(labelled_rows)
-    chosen = base.join(F.broadcast(marks), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))  # at most labelled_rows rows
+    chosen = bounded_rows(base.join(F.broadcast(marks), "id"), labelled_rows)
     shared = spark.sparkContext.broadcast(chars)
     schema = T.StructType([T.StructField("features", T.ArrayType(T.IntegerType()))])
 
@@ -292,7 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
         return collect
 
-    found = materialize(annotate(chosen, "text", make, schema, ["label"]), "features")
+    found = annotate(chosen, "text", make, schema, ["id", "label"])
+    found = found.groupBy("id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("features").alias("h"), "features")).alias("row"))
+    found = materialize(found.select("label", "row.features"), "features")
     n, p = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if 0 < p < n:
         best = telling_features(found, n, p, kept_features)
