@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, release_memory
 
 ORDER = 5
 END = 1
@@ -72,7 +72,9 @@ def gram_hashes(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]
 def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 60_000) -> DataFrame:
     """(grp, gram, n): counts of the longest n-grams by group, over every row.
 
-    ``gram`` holds ORDER code points, the predicted one first.
+    ``gram`` holds ORDER code points, the predicted one first.  A task holds at
+    most ``distinct_words`` words (and those of a text), of all groups together,
+    and counts of words beyond that are given out in parts.
     """
     schema = "grp string, gram string, n long"
 
@@ -88,15 +90,22 @@ def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words:
 
     def run(batches):
         words: dict[str, Counter] = {}
+        held = 0
         for batch in batches:
             for text, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = words.setdefault(group, Counter())
+                held -= len(own)
                 own.update(text.lower().split())
-                if len(own) > distinct_words:
-                    yield emit(group, words.pop(group))
-        for group, own in words.items():
+                held += len(own)
+                while held > distinct_words:
+                    largest = max(words, key=lambda g: len(words[g]))
+                    held -= len(words[largest])
+                    yield emit(largest, words.pop(largest))
+        while words:
+            group, own = words.popitem()
             if own:
                 yield emit(group, own)
+        release_memory()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(group_col).cast("string").alias("grp")).where("text IS NOT NULL AND grp IS NOT NULL")
     return rows.mapInArrow(run, schema).groupBy("grp", "gram").agg(F.sum("n").alias("n"))

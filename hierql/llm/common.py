@@ -127,6 +127,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release_memory() -> None:
+    """Give what a worker has freed back to the system, where that can be asked for: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bounded_rows(rows: DataFrame, bound: int, id_col: str = "id") -> DataFrame:
     """At most ``bound`` rows, of the first ids by md5; an id whose rows would go beyond the bound is passed over.
 
@@ -170,5 +184,6 @@ def annotate(docs: DataFrame, text_col: str, make, fields, keep: list[str]) -> D
         for batch in batches:
             columns = score(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + columns, names=names)
+        release_memory()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("hq_text")).mapInArrow(run, schema)
