@@ -69,7 +69,7 @@ def gram_hashes(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]
     return grams, contexts
 
 
-def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 60_000) -> DataFrame:
+def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 200_000) -> DataFrame:
     """(grp, gram, n): counts of the longest n-grams by group, over every row.
 
     ``gram`` holds ORDER code points, the predicted one first.  A task holds at
