@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, release_memory
+from .common import forget_models, mix64, release_memory
 
 ORDER = 5
+#: Symbols that are hashed at a time.
+SLICE = 100_000
 END = 1
 #: Odd multipliers of the symbols at distance 0, 1, .. from the predicted one.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -69,26 +71,49 @@ def gram_hashes(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]
     return grams, contexts
 
 
+def distinct(symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of ``symbols`` once, with the sum of its counts."""
+    keys = np.zeros(len(symbols), np.uint64)
+    for k in range(ORDER):
+        keys += symbols[:, k].astype(np.uint64) * _FACTORS[k]
+    _, first, inverse = np.unique(mix64(keys), return_index=True, return_inverse=True)
+    return symbols[first], np.bincount(inverse, weights=counts, minlength=len(first)).astype(np.int64)
+
+
+def slices(tokens: list[str]):
+    """Bounds of runs of tokens with about SLICE characters each; a longer token is a run of its own."""
+    start = held = 0
+    for i, t in enumerate(tokens):
+        if held and held + len(t) > SLICE:
+            yield start, i
+            start, held = i, 0
+        held += len(t) + 1
+    if held:
+        yield start, len(tokens)
+
+
 def count_grams(docs: DataFrame, text_col: str, group_col: str, distinct_words: int = 200_000) -> DataFrame:
     """(grp, gram, n): counts of the longest n-grams by group, over every row.
 
     ``gram`` holds ORDER code points, the predicted one first.  A task holds at
     most ``distinct_words`` words (and those of a text), of all groups together,
-    and counts of words beyond that are given out in parts.
+    and counts of words beyond that are given out in parts; n-grams of these words
+    are formed some at a time.
     """
     schema = "grp string, gram string, n long"
 
     def emit(group: str, words: Counter) -> pa.RecordBatch:
-        tokens = list(words)
-        symbols, token = predictions(tokens)
-        weights = np.fromiter(words.values(), np.int64, len(tokens))[token]
-        _, first, inverse = np.unique(mix64((symbols.astype(np.uint64) * _FACTORS).sum(axis=1, dtype=np.uint64)), return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, weights=weights, minlength=len(first)).astype(np.int64)
-        flat = np.ascontiguousarray(symbols[first]).tobytes().decode("utf-32-le", "surrogatepass")
+        tokens, times = list(words), np.fromiter(words.values(), np.int64, len(words))
+        symbols, counts = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+        for start, end in slices(tokens):
+            more, token = predictions(tokens[start:end])
+            symbols, counts = distinct(np.concatenate([symbols, more]), np.concatenate([counts, times[start + token]]))
+        flat = np.ascontiguousarray(symbols).tobytes().decode("utf-32-le", "surrogatepass")
         grams = [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
         return pa.RecordBatch.from_arrays([pa.array([group] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts)], names=["grp", "gram", "n"])
 
     def run(batches):
+        forget_models()
         words: dict[str, Counter] = {}
         held = 0
         for batch in batches:
@@ -128,7 +153,9 @@ class CharModel:
         return at, keys[at] == hashes
 
     def score(self, symbols: np.ndarray) -> np.ndarray:
-        """(n, K) log probabilities of the predicted symbols."""
+        """(n, K) log probabilities of the predicted symbols, some rows at a time."""
+        if len(symbols) > SLICE:
+            return np.concatenate([self.score(symbols[i : i + SLICE]) for i in range(0, len(symbols), SLICE)])
         grams, contexts = gram_hashes(symbols)
         out = np.zeros((len(symbols), len(self.groups)), np.float32)
         rest = np.arange(len(symbols))
@@ -145,8 +172,9 @@ class CharModel:
 
     def score_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per token: (K) summed log probabilities, and the number of predictions."""
-        if len(tokens) > 10_000:
-            parts = [self.score_tokens(tokens[i : i + 10_000]) for i in range(0, len(tokens), 10_000)]
+        runs = list(slices(tokens))
+        if len(runs) > 1:
+            parts = [self.score_tokens(tokens[a:b]) for a, b in runs]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         symbols, token = predictions(tokens)
         logs = self.score(symbols)
@@ -239,14 +267,13 @@ class Counts:
 def gather(docs: DataFrame, text_col: str, group_col: str) -> Counts | None:
     """Counts of every row with a text and a group; None if there is none."""
     table = count_grams(docs, text_col, group_col).toArrow()
-    grams = table.column("gram").to_pylist()
-    if not grams:
+    if not table.num_rows:
         return None
-    names = table.column("grp").to_pylist()
-    groups = sorted(set(names))
-    place = {g: i for i, g in enumerate(groups)}
-    owner = np.fromiter((place[g] for g in names), np.int64, len(names))
-    symbols = code_points("".join(grams)).reshape(-1, ORDER)
+    names = table.column("grp").combine_chunks().dictionary_encode()
+    found = names.dictionary.to_pylist()
+    groups = sorted(found)
+    owner = np.array([groups.index(g) for g in found])[names.indices.to_numpy()]
+    symbols = np.concatenate([code_points("".join(c.to_pylist())).reshape(-1, ORDER) for c in table.column("gram").chunks])
     order = np.lexsort((*symbols.T, owner))
     return Counts(groups, owner[order], symbols[order], table.column("n").to_numpy()[order])
 
@@ -257,17 +284,6 @@ def fit(docs: DataFrame, text_col: str, group_col: str) -> CharModel | None:
     return counts and counts.model()
 
 
-_CACHE: dict[str, object] = {}
-
-
-def cached(name: str, make):
-    """What a worker keeps between tasks, under the model's name; one model at a time."""
-    if name not in _CACHE:
-        _CACHE.clear()
-        _CACHE[name] = make()
-    return _CACHE[name]
-
-
 class _Ids(dict):
     """Numbers of words; an unknown word gets the next one."""
 

@@ -141,6 +141,24 @@ def release_memory() -> None:
         trim(0)
 
 
+_MODELS: dict[str, object] = {}
+
+
+def cached(name: str, make):
+    """What a worker keeps between tasks, under the model's name; one model at a time."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = make()
+    return _MODELS[name]
+
+
+def forget_models() -> None:
+    """Drop what a worker keeps of a model, where other work begins."""
+    if _MODELS:
+        _MODELS.clear()
+        release_memory()
+
+
 def bounded_rows(rows: DataFrame, bound: int, id_col: str = "id") -> DataFrame:
     """At most ``bound`` rows, of the first ids by md5; an id whose rows would go beyond the bound is passed over.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, materialize, mix64, prepare, remove_materialized, written
+from .common import annotate, forget_models, materialize, mix64, prepare, remove_materialized, written
 from .shingles import WIDTH, min_hashes, set_digest, shingles
 
 HASHES, BANDS, STEP = 128, 32, 16
@@ -53,6 +53,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     schema = "id long, node binary, size long, sketch binary"
 
     def run(batches):
+        forget_models()
         for batch in batches:
             values, bounds = shingles(batch.column(1).to_pylist(), width)
             rows = min_hashes(values, bounds, HASHES)

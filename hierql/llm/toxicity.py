@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charlm
-from .common import annotate, bounded_rows, fold, materialize, mix64, prefixed, prepare
+from .common import annotate, bounded_rows, cached, fold, materialize, mix64, prefixed, prepare
 
 #: Letters that a symbol may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "#": "h"}
@@ -360,7 +360,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: l
 
     def make():
         own = shared.value
-        scorer = charlm.cached(own.name, lambda: Scorer(own))
+        scorer = cached(own.name, lambda: Scorer(own))
 
         def measure(texts):
             p = 1 / (1 + np.exp(-np.clip(scorer.logits(texts), -40, 40)))

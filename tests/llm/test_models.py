@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,6 +93,25 @@ def test_no_ngram_is_lost_to_another():
     assert not model.lookup(model.grams[4], charlm.gram_hashes(foreign)[0][4])[1].any()
 
 
+def test_slices_change_nothing(monkeypatch):
+    tokens = ["ab", "x" * 50, "it's", "42", "über", "ab", "y"] * 3
+    symbols, owner = charlm.predictions(tokens)
+    unique, counts = charlm.distinct(symbols, np.ones(len(symbols), int))
+    model = charlm.build(np.zeros(len(unique), int), unique, counts, ["g"])
+    whole = model.score_tokens(tokens)
+    monkeypatch.setattr(charlm, "SLICE", 7)
+    runs = list(charlm.slices(tokens))
+    assert len(runs) > 5 and [i for a, b in runs for i in range(a, b)] == list(range(len(tokens)))
+    assert list(charlm.slices([])) == []
+    for a, b in zip(model.score_tokens(tokens), whole, strict=True):
+        assert np.allclose(a, b, rtol=1e-5)
+    rows, counts = np.zeros((0, charlm.ORDER), np.uint32), np.zeros(0, np.int64)
+    for a, b in runs:
+        more, _ = charlm.predictions(tokens[a:b])
+        rows, counts = charlm.distinct(np.concatenate([rows, more]), np.concatenate([counts, np.ones(len(more), np.int64)]))
+    assert dict(zip(map(tuple, rows.tolist()), counts.tolist(), strict=True)) == Counter(map(tuple, symbols.tolist()))
+
+
 def test_languages_of_held_out_texts(docs):
     model = language_id.fit(docs)
     rows = language_id.identify(docs, model).collect()
