@@ -1,5 +1,6 @@
 """Language identification and toxicity: round trips, held-out accuracy, odd inputs."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hierql.llm import charlm, language_id, toxicity
+from hierql.llm import charlm, common, language_id, toxicity
 from hierql.llm.common import fold_of
 
 SYLLABLES = {"aa": "th an er on re he in ed nd ha".split(), "bb": "ción os ar as ñ ll ue que mi ga".split(), "cc": "ß ung ver keit lich sch zu be ge ü".split()}
@@ -156,6 +157,45 @@ def test_repeated_ids_and_single_halves(spark, docs):
     assert language_id.fit(docs.union(one.withColumn("doc_id", F.lit(3).cast("long")))).chars.groups == ["aa", "bb", "cc"]
 
 
+def test_all_training_rows_calibrate(spark):
+    rnd = random.Random(11)
+    pool = {lang: [sentence(rnd, lang, rnd.randint(1, 12)) for _ in range(40)] for lang in SYLLABLES}
+    learned = [i for i in range(31_000) if fold_of(i) != 1]
+    assert len(learned) > 20_000
+    last = max(learned, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, "zxq qzx wqk xkz vvq " * 30 if i == last else pool[lang][i % 40], lang) for i in range(31_000) for lang in [["aa", "aa", "aa", "bb", "cc"][i % 5]]]
+    before = common.written()
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert common.written() == before
+
+    half = {i: zlib.crc32(str(i).encode()) // 3 % 2 for i in learned}
+    truth, entropy, sizes = [], [], []
+    for h in (0, 1):
+        other = [(t, g) for i, t, g in rows if half.get(i) == 1 - h]
+        chars = charlm.gather(spark.createDataFrame(other, "text string, lang string"), "text", "lang").model()
+        own = [(t, g) for i, t, g in rows if half.get(i) == h]
+        e, n = language_id.LanguageModel(chars, f"half {h}").entropies([t for t, _ in own])
+        truth, entropy, sizes = truth + ["aa bb cc".split().index(g) for _, g in own], [*entropy, e], [*sizes, n]
+    truth, entropy, sizes = np.array(truth), np.concatenate(entropy), np.concatenate(sizes)
+    at = np.arange(len(truth))
+    assert len(at) == len(learned) and (sizes > 0).all()
+    loss = [-np.log(np.maximum(language_id.posteriors(entropy, sizes, t)[at, truth], 1e-12)).mean() + 1e-3 * np.log(t) ** 2 for t in np.geomspace(0.1, 30, 25)]
+    assert model.temperature == np.geomspace(0.1, 30, 25)[np.argmin(loss)]
+    own = entropy[at, truth]
+    assert model.mean.tolist() == [np.median(own[truth == g]) for g in range(3)]
+    deviation = 1.5 * (own - model.mean[truth]) * np.sqrt(np.minimum(sizes, 400))
+    reach = [max(20.0, deviation[truth == g].max()) for g in range(3)]
+    assert np.allclose(model.reach, reach, rtol=1e-12) and max(reach) > 60
+
+
+def test_medians_of_any_doubles(spark):
+    rnd = random.Random(3)
+    values = {"odd": [rnd.gauss(0, 3) for _ in range(301)], "even": [rnd.random() for _ in range(300)], "equal": [1.5] * 7, "two": [-0.0, 2.0], "one": [-7.25], "close": [1 + k * 2.0**-52 for k in range(9)], "": [0.0, -1e-300, 1e300, 4.0]}
+    rows = [(g, v, int(language_id.ordered_bits(np.array([v]))[0])) for g, own in values.items() for v in own]
+    table = spark.createDataFrame(rows, "lang string, own double, key long").repartition(5)
+    assert language_id.medians(table, {g: len(own) for g, own in values.items()}) == {g: float(np.median(own)) for g, own in values.items()}
+
+
 def test_odd_texts_and_foreign_ones(spark, docs):
     model = language_id.fit(docs)
     rows = {r.doc_id: r for r in language_id.identify(odd(spark, docs), model).collect()}
