@@ -1,4 +1,4 @@
-"""Results as components with XES attributes, streamed trace by trace."""
+"""Results as components with XES attributes: streamed trace by trace to the driver, or as one sorted frame of pieces."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from datetime import date, datetime
 from typing import Any
 
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from hierql.engine import PqlResult
@@ -65,7 +65,7 @@ def component(row: Row | dict, names: dict[str, tuple[str, bool]], attrs: str) -
         if (value is not None or computed) and not key.startswith(HIDDEN):
             out.attributes[key] = Value("id" if key == "identity:id" else tag_of(value), value)
     if attrs in row:
-        for key, v in (row[attrs] or {}).items():
+        for key, v in dict(row[attrs] or {}).items():
             value = next((v[k] for k in ("s", "l", "d", "b", "ts") if v[k] is not None), None)
             out.attributes.setdefault(key, Value(v["t"], value, json.loads(v["children"]) if v["children"] else None))
     return out
@@ -106,3 +106,39 @@ def logs(result: PqlResult, traces: bool = True, events: bool = True) -> Iterato
         yield Log(row["log_id"], component(row, names[Scope.LOG], "l_attrs"), mine)
         for _ in mine:  # traces that the caller left
             pass
+
+
+#: What ``pieces`` are sorted by.
+PIECE_ORDER = ["_log_pos", "log_id", "_at", "_trace_pos", "trace_id", "_in", "_event_pos", "event_id"]
+OPENS, INSIDE, CLOSES = 0, 1, 2
+
+
+def pieces(result: PqlResult, names: dict[Scope, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """The result in the order of a document, one row for each event and two for each trace and log, which open and close it.
+
+    ``_at`` tells where in its log a row is, ``_in`` where in its trace; ``own``,
+    ``trace`` and ``event`` hold a component's columns.  Rows stand for themselves,
+    so a frame may be cut anywhere, also inside of a trace.
+    """
+
+    def fields(frame: DataFrame, scope: Scope):
+        return F.struct("log_id", *[c for c in frame.columns if c in names[scope] or c == f"{scope.letter}_attrs"])
+
+    ends = F.explode(F.array(F.lit(OPENS), F.lit(CLOSES)))
+    logs = result.logs
+    logs = logs.select(F.col("_pos").alias("_log_pos"), "log_id", fields(logs, Scope.LOG).alias("own"), ends.alias("_at"))
+    places = result.logs.select("log_id", F.col("_pos").alias("_log_pos"))
+    shown = result.shown(Scope.EVENT)
+    traces = result.traces if shown else result.placeholders()  # empty events stand for those that the query does not show
+    nulls = F.coalesce("_null_event_count", F.lit(0)) if "_null_event_count" in traces.columns else F.lit(0)
+    traces = traces.select(*IDS[Scope.TRACE], F.col("_pos").alias("_trace_pos"), F.lit(INSIDE).alias("_at"), fields(traces, Scope.TRACE).alias("trace"), nulls.cast("long").alias("_nulls"))
+    traces = traces.join(places, "log_id")
+    out = logs.unionByName(traces.withColumn("_in", ends), allowMissingColumns=True)
+    if shown:
+        events = result.events
+        events = events.select(*IDS[Scope.EVENT], F.col("_pos").alias("_event_pos"), F.lit(INSIDE).alias("_in"), fields(events, Scope.EVENT).alias("event"))
+        events = events.join(traces.select(*IDS[Scope.TRACE], "_log_pos", "_trace_pos", "_at"), IDS[Scope.TRACE])
+        out = out.unionByName(events, allowMissingColumns=True)
+    else:
+        out = out.withColumns({"_event_pos": F.lit(None).cast("long"), "event_id": F.lit(None).cast("string"), "event": F.struct("log_id")})
+    return out.orderBy(*PIECE_ORDER)

@@ -5,23 +5,33 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import shutil
+import uuid
 import zipfile
-from contextlib import contextmanager, nullcontext
+from collections.abc import Callable
+from contextlib import ExitStack, contextmanager, nullcontext
 from datetime import UTC, date, datetime
 from typing import Any
 from urllib.parse import quote as quote_path
 from xml.sax.saxutils import quoteattr
 
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
 from hierql.engine import PqlResult
+from hierql.functions.catalog import Scope
+from hierql.model import classifiers_in
+from hierql.plans.compiler import Classifier
 
-from .files import open_output
-from .rendering import Component, Log, Value, logs
+from .files import file_system, open_output
+from .rendering import CLOSES, OPENS, Component, Log, Value, component, keys, logs, pieces
 from .xes_reader import CANONICAL
 
 #: Extensions of a log that names none.
 DEFAULT_EXTENSIONS = [(name, prefix, f"http://www.xes-standard.org/{prefix}.xesext") for name, prefix in CANONICAL.items()]
 DECLARATION = '<?xml version="1.0" encoding="UTF-8" ?>\n'
 LOG_OPEN = '<log xes.version="1.0" xes.features="nested-attributes" xmlns="http://www.xes-standard.org/">\n'
+LOG_CLOSE = "</log>\n"
 _ILLEGAL = dict.fromkeys([*range(9), 11, 12, *range(14, 32), 0xFFFE, 0xFFFF])
 
 
@@ -100,7 +110,7 @@ def write_xes(result: PqlResult, out, log_name: str = "log", traces: bool = True
         out.write(LOG_OPEN)
         write_extensions(out, extensions)
         emit.attribute("concept:name", Value("string", log_name), "\t")
-        out.write("</log>\n")
+        out.write(LOG_CLOSE)
 
 
 def opened(header: dict, out) -> tuple[Emitter, list]:
@@ -110,32 +120,49 @@ def opened(header: dict, out) -> tuple[Emitter, list]:
 
 
 def write_log(result: PqlResult, log: Log, out, log_name: str) -> None:
-    header = result.store.header_of(log.log_id)
+    emit = open_log(result.store.header_of(log.log_id), result.store.classifiers_of(log.log_id), log.own, out, log_name)
+    for trace, found, nulls in log.traces:
+        open_trace(emit, trace)
+        for e in found:
+            write_event(emit, e)
+        close_trace(emit, nulls)
+    out.write(LOG_CLOSE)
+
+
+def open_log(header: dict, classifiers: list[Classifier], own: Component, out, log_name: str) -> Emitter:
+    """Write a log up to its traces; what writes these."""
     emit, extensions = opened(header, out)
     out.write(LOG_OPEN)
     write_extensions(out, extensions)
     for scope in ("trace", "event"):
-        own = [g for g in header.get("globals") or [] if g["scope"] == scope]
-        if own:
+        found = [g for g in header.get("globals") or [] if g["scope"] == scope]
+        if found:
             out.write(f'\t<global scope="{scope}">\n')
-            for g in own:
+            for g in found:
                 value = next((g["value"][k] for k in ("s", "l", "d", "b", "ts") if g["value"][k] is not None), None)
                 emit.attribute(g["key"], Value(g["value"]["t"], value), "\t\t")
             out.write("\t</global>\n")
-    for c in result.store.classifiers_of(log.log_id):
+    for c in classifiers:
         out.write(f'\t<classifier name={quote(c.name)} scope="{c.scope.label}" keys={quote(" ".join(c.keys))}/>\n')
-    own = {k: v for k, v in log.own.attributes.items() if k not in ("xes:version", "xes:features")}
-    own.setdefault("concept:name", Value("string", log_name))
-    emit.all(Component(own), "\t")
-    for trace, found, nulls in log.traces:
-        out.write("\t<trace>\n")
-        emit.all(trace, "\t\t")
-        for e in found:
-            out.write("\t\t<event>\n")
-            emit.all(e, "\t\t\t")
-            out.write("\t\t</event>\n")
-        out.write("\t\t<event/>\n" * nulls + "\t</trace>\n")
-    out.write("</log>\n")
+    attributes = {k: v for k, v in own.attributes.items() if k not in ("xes:version", "xes:features")}
+    attributes.setdefault("concept:name", Value("string", log_name))
+    emit.all(Component(attributes), "\t")
+    return emit
+
+
+def open_trace(emit: Emitter, trace: Component) -> None:
+    emit.out.write("\t<trace>\n")
+    emit.all(trace, "\t\t")
+
+
+def write_event(emit: Emitter, event: Component) -> None:
+    emit.out.write("\t\t<event>\n")
+    emit.all(event, "\t\t\t")
+    emit.out.write("\t\t</event>\n")
+
+
+def close_trace(emit: Emitter, nulls: int) -> None:
+    emit.out.write("\t\t<event/>\n" * nulls + "\t</trace>\n")
 
 
 def write_extensions(out, extensions) -> None:
@@ -157,13 +184,79 @@ def to_xes(result: PqlResult, path: str, compress: bool = False, log_name: str =
 
 
 def to_xes_each(result: PqlResult, folder: str, compress: bool = False, log_name: str = "log") -> list[str]:
-    """Write a document for every log, named by the log's id; the documents' paths."""
-    paths = []
-    for log in logs(result):
-        paths.append(f"{folder.rstrip('/')}/{quote_path(log.log_id, safe='')}.xes{'.gz' * compress}")
-        with text_output(paths[-1], compress) as out:
+    """Write a document for every log, named by the log's id; the documents' paths.
+
+    Executors sort the rows and write them; the driver has the names of files only.
+    """
+    store, names = result.store, {s: keys(result, s) for s in Scope}
+    headers, other, classifiers = store.headers, store.header, store.classifiers
+
+    def write(out, row: dict) -> None:
+        header = headers.get(row["log_id"], other)
+        if row["_at"] == OPENS:
             out.write(DECLARATION)
-            write_log(result, log, out, log_name)
+            known = classifiers_in(headers[row["log_id"]]) if row["log_id"] in headers else classifiers
+            open_log(header, known, component(row["own"], names[Scope.LOG], "l_attrs"), out, log_name)
+        elif row["_at"] == CLOSES:
+            out.write(LOG_CLOSE)
+        elif row["_in"] == OPENS:
+            open_trace(opened(header, out)[0], component(row["trace"], names[Scope.TRACE], "t_attrs"))
+        elif row["_in"] == CLOSES:
+            close_trace(opened(header, out)[0], row["_nulls"])
+        else:
+            write_event(opened(header, out)[0], component(row["event"], names[Scope.EVENT], "e_attrs"))
+
+    return write_each(pieces(result, names), write, folder, ".xes" + ".gz" * compress, compress)
+
+
+def write_each(rows: DataFrame, write: Callable, folder: str, suffix: str, compress: bool) -> list[str]:
+    """Write a document of every log's ``pieces`` with ``write(out, row)``; the documents' paths.
+
+    Every task writes its stretch of a log to a part, then one task a log puts
+    its parts together.  Gzipped parts are members of one gzip file.
+    """
+    from .shipping import ship
+
+    spark, aside = rows.sparkSession, f"{folder.rstrip('/')}/parts-{uuid.uuid4().hex}"
+    ship(spark)
+
+    def parts(batches):
+        import pyarrow as pa
+
+        found, out = [], None
+        with ExitStack() as stack:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    for row in batch.slice(start, 256).to_pylist():
+                        if not found or found[-1]["log_id"] != row["log_id"]:
+                            stack.close()
+                            found.append({"task": TaskContext.get().partitionId(), "n": len(found), "log_id": row["log_id"], "part": uuid.uuid4().hex})
+                            out = stack.enter_context(text_output(f"{aside}/{found[-1]['part']}", compress))
+                        write(out, row)
+        yield pa.RecordBatch.from_pylist(found, pa.schema([("task", pa.int32()), ("n", pa.int32()), ("log_id", pa.string()), ("part", pa.string())]))
+
+    def together(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open_output(row["path"]) as out:
+                    for part in row["parts"]:
+                        system, place = file_system(f"{aside}/{part}")
+                        with system.open_input_stream(place, compression=None) as stream:
+                            shutil.copyfileobj(stream, out, 1 << 20)
+            yield batch.select(["n"])
+
+    try:
+        by_log: dict[str, list[str]] = {}
+        for r in sorted(rows.mapInArrow(parts, "task int, n int, log_id string, part string").collect()):  # a row per task and log
+            by_log.setdefault(r.log_id, []).append(r.part)
+        paths = [f"{folder.rstrip('/')}/{quote_path(log_id, safe='')}{suffix}" for log_id in by_log]
+        if paths:
+            documents = spark.createDataFrame([(n, p, own) for n, (p, own) in enumerate(zip(paths, by_log.values(), strict=True))], "n int, path string, parts array<string>")
+            documents.repartitionByRange(min(len(paths), 1000), "n").mapInArrow(together, "n int").collect()
+    finally:
+        system, place = file_system(aside)
+        if system.get_file_info(place).type.name == "Directory":
+            system.delete_dir(place)
     return paths
 
 
