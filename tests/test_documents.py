@@ -14,6 +14,7 @@ from hierql.engine import execute
 from hierql.sources.rendering import logs
 from hierql.sources.xes_reader import read_xes
 from hierql.sources.xes_writer import DECLARATION, to_xes_each, write_log
+from hierql.store import Catalog
 
 
 @pytest.fixture
@@ -98,3 +99,14 @@ def test_no_text_reaches_the_driver(spark, tmp_path, received):
     paths = to_xes_each(result, str(tmp_path / "d"))
     assert [Path(p).stat().st_size > 300_000 for p in paths] == [True, True]
     assert sum(received) < 10_000
+
+
+def test_a_catalog_imports_and_deletes_without_rows_on_the_driver(spark, tmp_path, received):
+    events = [{"name": "keep" if i % 3 else "drop", "ts": i, "attr": "y" * 1_000} for i in range(300)]
+    (path,) = to_xes_each(execute(make_store(spark, [("A", [("one", events), ("two", [])])]), ""), str(tmp_path / "d"), True)
+    catalog = Catalog(spark, f"file://{tmp_path}/catalog")
+    log = catalog.import_xes(catalog.create("s")["id"], path)
+    assert catalog.delete("delete event where e:name = 'drop'", log_id=log) == 100
+    assert sum(received) < 10_000
+    rest = catalog.query("select e:name, [e:attr_1]", log_id=log)
+    assert rest.events.where("e_concept_name = 'keep' and length(e_attr_1) = 1000").count() == 200 and rest.traces.count() == 2
