@@ -7,7 +7,6 @@ results are rounded on both sides.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,8 +18,8 @@ from hierql.functions.catalog import Scope
 from hierql.model import IDS
 from hierql.operators.delete import without
 from hierql.sources import adapters
-from hierql.sources.files import open_output, shared_file
-from hierql.sources.xes_json import to_json
+from hierql.sources.files import shared_file
+from hierql.sources.xes_json import to_json_each
 from hierql.sources.xes_reader import read_xes
 from hierql.sources.xes_writer import to_xes_each
 from hierql.store import Catalog
@@ -251,13 +250,10 @@ def xes_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces of the JSON document of the dialogues' log, which is written and read back."""
-    path = shared_file(spark, "log.json")
-    with open_output(path) as out:
-        for document in to_json(execute(adapters.dialogues(spark, sf_dir), "select t:name, e:name")):
-            out.write(json.dumps(document).encode() + b"\n")
+    paths = to_json_each(execute(adapters.dialogues(spark, sf_dir), "select t:name, e:name"), shared_file(spark, "json"))
     one = "struct<`@key`:string,`@value`:string>"
     schema = f"log struct<trace:array<struct<string:{one},event:array<struct<string:{one}>>>>>"
-    trace = spark.read.schema(schema).json(path).select(F.explode("log.trace").alias("t"))
+    trace = spark.read.schema(schema).json(paths).select(F.explode("log.trace").alias("t"))
     return trace.select(F.col("t.string.@value").alias("name"), F.size("t.event").cast("long").alias("n"), F.array_join(F.col("t.event.string.@value"), ">").alias("roles"))
 
 

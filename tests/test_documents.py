@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import json
 from pathlib import Path
 from urllib.parse import unquote
 
@@ -12,6 +13,7 @@ from test_xes import DOCUMENT
 
 from hierql.engine import execute
 from hierql.sources.rendering import logs
+from hierql.sources.xes_json import to_json, to_json_each
 from hierql.sources.xes_reader import read_xes
 from hierql.sources.xes_writer import DECLARATION, to_xes_each, write_log
 from hierql.store import Catalog
@@ -96,8 +98,8 @@ def test_headers_prefixes_and_custom_attributes(spark, cut, tmp_path):
 def test_no_text_reaches_the_driver(spark, tmp_path, received):
     events = [{"name": "x" * 1_000, "ts": i} for i in range(300)]
     result = execute(make_store(spark, [("A", [("one", events)]), ("B", [("one", events)])]), "")
-    paths = to_xes_each(result, str(tmp_path / "d"))
-    assert [Path(p).stat().st_size > 300_000 for p in paths] == [True, True]
+    for write in (to_xes_each, to_json_each):
+        assert [Path(p).stat().st_size > 300_000 for p in write(result, str(tmp_path / write.__name__))] == [True, True]
     assert sum(received) < 10_000
 
 
@@ -110,3 +112,10 @@ def test_a_catalog_imports_and_deletes_without_rows_on_the_driver(spark, tmp_pat
     assert sum(received) < 10_000
     rest = catalog.query("select e:name, [e:attr_1]", log_id=log)
     assert rest.events.where("e_concept_name = 'keep' and length(e_attr_1) = 1000").count() == 200 and rest.traces.count() == 2
+
+
+@pytest.mark.parametrize("query", QUERIES)
+def test_executors_write_the_same_json(spark, cut, tmp_path, query):
+    result = execute(make_store(spark, long_logs()), query)
+    want = [json.dumps(document) + "\n" for document in to_json(result)]
+    assert [Path(p).read_text() for p in to_json_each(result, str(tmp_path / "d"))] == want
