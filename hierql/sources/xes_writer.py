@@ -16,7 +16,7 @@ from urllib.parse import quote as quote_path
 from xml.sax.saxutils import quoteattr
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from hierql.engine import PqlResult
 from hierql.functions.catalog import Scope
@@ -247,7 +247,9 @@ def write_each(rows: DataFrame, write: Callable, folder: str, suffix: str, compr
 
     try:
         by_log: dict[str, list[str]] = {}
-        for r in sorted(rows.mapInArrow(parts, "task int, n int, log_id string, part string").collect()):  # a row per task and log
+        with shuffles_deleted(spark):
+            found = rows.mapInArrow(parts, "task int, n int, log_id string, part string").collect()  # a row per task and log
+        for r in sorted(found):
             by_log.setdefault(r.log_id, []).append(r.part)
         paths = [f"{folder.rstrip('/')}/{quote_path(log_id, safe='')}{suffix}" for log_id in by_log]
         if paths:
@@ -260,6 +262,18 @@ def write_each(rows: DataFrame, write: Callable, folder: str, suffix: str, compr
     return paths
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Shuffle files of queries that are built and run inside go when these end, not when the driver's memory is next cleaned."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Unclosed(io.RawIOBase):
     """A stream that another one writes through without closing it."""
 
